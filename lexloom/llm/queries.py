@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import exact, packing, sharding, tokens
+from lexloom.llm import decontamination, exact, languages, packing, sharding, tokens, toxicity
+from lexloom.llm.words import WORD_RE
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +18,24 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op2_language_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return languages.mixtures(docs, languages.train(docs))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -29,9 +44,25 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_copies(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op3_sharding, op7_packing, op8_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_language_mixtures, op3_sharding, op4_decontamination, op5_toxicity, op7_packing, op8_exact_dedup)}
+
+_WORDS = f"regexp_extract_all(lower(text), '{WORD_RE}')"
 
 ORACLES: dict[str, str] = {
+    "op4_decontamination": f"""
+        WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+        g AS (SELECT item_id, w, len(w) AS n_words, least(5, len(w)) AS gram FROM i WHERE len(w) > 0),
+        s AS (SELECT DISTINCT item_id, n_words, gram, array_to_string(w[p:p + gram - 1], ' ') AS h FROM (SELECT *, unnest(range(1, n_words - gram + 2)) AS p FROM g)),
+        m AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS size FROM s),
+        d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        q AS (SELECT doc_id, w, gram, unnest(range(1, len(w) - gram + 2)) AS p FROM d CROSS JOIN (SELECT DISTINCT gram FROM g)),
+        x AS (SELECT doc_id, gram, p - 1 AS pos, array_to_string(w[p:p + gram - 1], ' ') AS h FROM q),
+        hit AS (SELECT item_id, doc_id, pos, h, n_words - gram AS span, size FROM x JOIN m USING (gram, h)),
+        best AS (
+            SELECT a.doc_id, a.item_id, a.pos, count(DISTINCT b.h) AS n, any_value(a.size) AS size
+            FROM hit a JOIN hit b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.pos BETWEEN a.pos AND a.pos + a.span GROUP BY ALL)
+        SELECT doc_id, item_id, max(n) / max(size) AS containment, arg_min(pos, (-n, pos)) AS start_word
+        FROM best GROUP BY ALL HAVING max(n) >= ceil(max(size) * 0.6 - 1e-9)""",
     "op8_exact_dedup": """
         SELECT doc_id, kept_id FROM (
             SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS kept_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS nth
