@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -46,6 +47,17 @@ def scratch(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what no table refers to any more, so that the shuffle files of finished steps leave the disks before the next."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def buckets(spark: SparkSession) -> int:
+    """How many parts a step that makes its own partitions cuts its rows into."""
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string) of the rows that have both an id and a text; every other column is left behind, so none can clash."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null and text is not null")

@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import by_size, shared_dir, texts
@@ -163,3 +163,15 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             grace.close()
 
     return rows.join(by_size(shared), "h", "left_semi").repartition("h").mapInArrow(resolve, "doc_id long, kept_id long")
+
+
+def one_of_each(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row only of those that repeat both an id in ids.doc_id and its text. Which one stays, where other columns differ, is their least value in order."""
+    of = F.col(f"`{id_col}`").cast("long")
+    again = by_size(ids.select(F.col("doc_id").alias("__again")))
+    twice = docs.join(again, of == again["__again"], "left_semi").where(F.col(f"`{text_col}`").isNotNull())
+    others = docs.join(again, (of == again["__again"]) & F.col(f"`{text_col}`").isNotNull(), "left_anti")
+    key = [F.col(f"`{id_col}`"), F.col(f"`{text_col}`")]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(*(rest or [F.lit(1)])))
+    return others.unionByName(twice.withColumn("__nth", nth).where("__nth = 1").drop("__nth"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import decontamination, exact, languages, packing, sharding, tokens, toxicity
+from lexloom.llm import decontamination, exact, html, jaccard, languages, packing, passages, sharding, tokens, toxicity
 from lexloom.llm.words import WORD_RE
 
 
@@ -36,6 +36,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,15 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_copies(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_language_mixtures, op3_sharding, op4_decontamination, op5_toxicity, op7_packing, op8_exact_dedup)}
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_language_mixtures, op3_sharding, op4_decontamination, op5_toxicity, op6_jaccard_join, op7_packing, op8_exact_dedup, op9_repeated_passages, op10_html_extraction)}
 
 _WORDS = f"regexp_extract_all(lower(text), '{WORD_RE}')"
 
@@ -63,6 +75,16 @@ ORACLES: dict[str, str] = {
             FROM hit a JOIN hit b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.pos BETWEEN a.pos AND a.pos + a.span GROUP BY ALL)
         SELECT doc_id, item_id, max(n) / max(size) AS containment, arg_min(pos, (-n, pos)) AS start_word
         FROM best GROUP BY ALL HAVING max(n) >= ceil(max(size) * 0.6 - 1e-9)""",
+    "op6_jaccard_join": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        g AS (SELECT doc_id, w, least(5, len(w)) AS gram FROM d WHERE len(w) > 0),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + gram - 1], ' ') AS h FROM (SELECT *, unnest(range(1, len(w) - gram + 2)) AS p FROM g)),
+        z AS (SELECT doc_id, count(*) AS size, md5(string_agg(h, '|' ORDER BY h)) AS f FROM s GROUP BY doc_id),
+        l AS (SELECT *, min(doc_id) OVER (PARTITION BY f, size) AS least FROM z),
+        r AS (SELECT s.doc_id, h, size FROM s JOIN l USING (doc_id) WHERE least = doc_id),
+        c AS (SELECT a.doc_id, b.doc_id AS other_id, count(*) AS k, any_value(a.size) + any_value(b.size) AS total FROM r a JOIN r b ON a.h = b.h AND a.doc_id > b.doc_id GROUP BY ALL)
+        SELECT doc_id, other_id, k / (total - k) AS jaccard FROM c WHERE k / (total - k) >= 0.45 - 1e-12
+        UNION ALL SELECT doc_id, least, 1.0::DOUBLE FROM l WHERE doc_id <> least""",
     "op8_exact_dedup": """
         SELECT doc_id, kept_id FROM (
             SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS kept_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS nth
