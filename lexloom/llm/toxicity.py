@@ -52,12 +52,13 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, min_docs: int = 5, steps: int = 300, rate: float = 0.05, shrink: float = 1e-4) -> Model:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, min_docs: int = 5, steps: int = 300, rate: float = 0.05, shrink: float = 0.06) -> Model:
     """Minimise the non-negative risk prior * R+(P) + max(0, R-(U) - prior * R-(P)) of the logistic loss, by Adam with soft thresholding.
 
     Where the estimate of the negatives' risk falls below 0, which only
     overfitting can cause, the step goes the other way on that part.  Texts are
     arrays of distinct word hashes; words of fewer than min_docs texts are left out.
+    The L1 penalty is shrink divided by the number of positives, so that few examples give few words.
     """
     if not positive or not unlabelled or not 0 < prior < 1:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -1.0)
@@ -87,7 +88,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         k1, k2 = 1 - 0.9**step, 1 - 0.999**step
         scale = rate / (np.sqrt(m2 / k2) + 1e-8)
         w = w - scale * m1 / k1
-        w = np.sign(w) * np.maximum(np.abs(w) - np.minimum(scale * shrink, 1), 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - np.minimum(scale * shrink / p, 1), 0)
         b -= rate * (c1 / k1) / (np.sqrt(c2 / k2) + 1e-8)
     kept = w != 0
     return Model(keys[kept], w[kept], float(b))
@@ -127,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_po
     return fit([x for _, x in p], [x for _, x in u], prior)
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, threshold: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, score double, toxic boolean) for every row of docs, repeated rows and null ids too.
 
     score is the estimated probability, toxic says that it is above threshold.  A
