@@ -55,7 +55,7 @@ def release(spark: SparkSession) -> None:
 
 def buckets(spark: SparkSession) -> int:
     """How many parts a step that makes its own partitions cuts its rows into."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

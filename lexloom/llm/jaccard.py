@@ -147,7 +147,7 @@ def _prefixes(sets: DataFrame, threshold: float, cuts: int) -> DataFrame:
 
 
 def _candidates(groups: DataFrame, threshold: float, cuts: int) -> DataFrame:
-    """(a, b): pairs of groups with a shingle in common in the prefixes that can reach the threshold by their sizes and its places."""
+    """(a, b, h): pairs of groups with a shingle in common in the prefixes that can reach the threshold by their sizes and its places; h is the least such shingle."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,8 +174,11 @@ def _candidates(groups: DataFrame, threshold: float, cuts: int) -> DataFrame:
 
         def distinct() -> np.ndarray:
             every = np.concatenate(found)
-            every = every[np.lexsort((every[:, 1], every[:, 0]))]
-            return every[np.r_[True, (every[1:] != every[:-1]).any(axis=1)]]
+            every = every[np.lexsort((every[:, 2], every[:, 1], every[:, 0]))]
+            return every[np.r_[True, (every[1:, :2] != every[:-1, :2]).any(axis=1)]]
+
+        def rows(x: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, k])) for k in range(3)], ["a", "b", "h"])
 
         step = 1
         while len(left):
@@ -187,21 +190,20 @@ def _candidates(groups: DataFrame, threshold: float, cuts: int) -> DataFrame:
             good = most >= threshold / (1 + threshold) * (size[left] + size[right]) - 1e-9
             if good.any():
                 a, b = g[left[good]], g[right[good]]
-                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b), h[left[good]]], 1))
                 held += len(a)
                 if held > 2_000_000:
                     found = [distinct()]
                     held = len(found[0])
                     if held > 1_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(found[0][:, 0]), pa.array(found[0][:, 1])], ["a", "b"])
+                        yield rows(found[0])
                         found, held = [], 0
             step += 1
         if found:
-            last = distinct()
-            yield pa.RecordBatch.from_arrays([pa.array(last[:, 0]), pa.array(last[:, 1])], ["a", "b"])
+            yield rows(distinct())
 
     index = groups.select("g", "size", "lone", "prefix").mapInArrow(_plain(cut), "bucket int, h long, g long, size long, place long")
-    return index.repartition(cuts, "bucket").mapInArrow(pair, "a long, b long").distinct()
+    return index.repartition(cuts, "bucket").mapInArrow(pair, "a long, b long, h long").groupBy("a", "b").agg(F.min("h").alias("h"))
 
 
 def _plain(cut):  # the prefix column comes with offsets from anywhere
@@ -261,19 +263,25 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.45, id_col: s
     release(spark)
     members = prefixes.withColumn("g", F.min("node").over(Window.partitionBy("g1", "g2", "size")))
     members = scratch(members.select("g", "node", "size", "lone", F.when(F.col("g") == F.col("node"), F.col("prefix")).alias("prefix")))
-    met = _candidates(members.where("g = node"), threshold, cuts)
+    met = _candidates(members.where("g = node"), threshold, max(1, cuts // 8))  # the fewer parts, the fewer of them find the same pair
     own = members.select("g", "node")
     left, right = own.toDF("a", "x"), own.toDF("b", "y")
-    between = met.join(left, "a").join(right, "b").select("x", "y")
-    within = left.join(right, F.col("a") == F.col("b")).where("x < y").select("x", "y")
+    between = met.join(left, "a").join(right, "b").select("h", "x", "y")
+    within = left.join(right, F.col("a") == F.col("b")).where("x < y").select(F.col("a").alias("h"), "x", "y")
     pairs = scratch(between.union(within))
     release(spark)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, {}
         for batch in batches:
             out: list[tuple[int, int, float]] = []
-            for x, y, hx, hy in zip(*(c.to_pylist() for c in batch.columns)):
-                p, q = np.frombuffer(hx, np.uint64), np.frombuffer(hy, np.uint64)
+            for k, x, y, content in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != key:
+                    key, held = k, {}
+                if y is None:
+                    held[x] = np.frombuffer(content, np.uint64)
+                    continue
+                p, q = held[x], held[y]
                 place = np.searchsorted(q, p)
                 place[place == len(q)] = 0
                 common = int((q[place] == p).sum())
@@ -283,12 +291,11 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.45, id_col: s
             x, y, j = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(j, pa.float64())], ["x", "y", "jaccard"])
 
-    # one row for each node and block of its partners, so that its set travels with each block and not with each pair
-    partners = pairs.groupBy("x").agg(F.collect_list("y").alias("ys"))
-    content = sets.groupBy("node").agg(F.first("h").alias("h"))
-    one = partners.join(content.toDF("x", "hx"), "x")
-    both = one.select("x", F.explode("ys").alias("y"), "hx").join(content.toDF("y", "hy"), "y").select("x", "y", "hx", "hy")
-    similar = scratch(both.mapInArrow(verify, "x long, y long, jaccard double"))
+    # pairs are verified where their shingle h is, so that a set travels once for all its pairs with others of the same h
+    wanted = pairs.select("h", F.col("x").alias("node")).union(pairs.select("h", "y")).distinct()
+    content = sets.select("node", F.col("h").alias("content")).join(by_size(wanted), "node").select("h", F.col("node").alias("x"), F.lit(None).cast("long").alias("y"), "content")
+    both = content.union(pairs.select("h", "x", "y", F.lit(None).cast("binary")))
+    similar = scratch(both.repartition("h").sortWithinPartitions("h", F.col("y").asc_nulls_first()).mapInArrow(verify, "x long, y long, jaccard double"))
     if expand:
         p = similar.join(ids.select(F.col("node").alias("x"), F.col("doc_id").alias("p")), "x").join(ids.select(F.col("node").alias("y"), F.col("doc_id").alias("q")), "y").select("p", "q", "jaccard")
         twins = ids.select("node", F.col("doc_id").alias("p")).join(ids.select("node", F.col("doc_id").alias("q")), "node").where("p > q").select("p", "q", F.lit(1.0).alias("jaccard"))
