@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import buckets, by_size, release, scratch, texts
-from lexloom.llm.words import ids_of, mix, shingles, slices, words
+from lexloom.llm.words import ids_of, mix, shingles, slices, tidy, words
 
 #: Runs of values by owner, cut by bucket: owners and counts describe whose values follow each other in h.
 _RUNS = "bucket int, owners binary, sizes binary, counts binary, h binary, df binary"
@@ -55,7 +55,9 @@ def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int,
         n = np.frombuffer(counts, np.uint32)
         full = np.zeros((int(n.sum()), 8), np.uint8)
         full[:, :width] = np.frombuffer(h, np.uint8).reshape(-1, width)
+        del h
         yield bucket, np.repeat(np.frombuffer(owners, np.int64), n), np.repeat(np.frombuffer(sizes, np.int32), n), full.view(np.uint64)[:, 0], np.frombuffer(df, np.uint16)
+    tidy()
 
 
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
@@ -83,7 +85,7 @@ def _alive(rows: DataFrame, n: int, threshold: float, cuts: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 1, 8 << 20):
+            for batch in slices(whole, 1, 2 << 20):
                 h, bounds = sets_of(batch.column(1), n)
                 yield from _cut(_bucket(h, cuts), np.repeat(batch.column(0).to_numpy(), np.diff(bounds)), np.zeros(len(h), np.int32), h, 6)
 
@@ -243,7 +245,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.45, id_col: s
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 1, 8 << 20):
+            for batch in slices(whole, 1, 2 << 20):
                 h, bounds = sets_of(batch.column(1), n)
                 some = np.flatnonzero(np.diff(bounds))
                 if not len(some):

@@ -8,6 +8,7 @@ for SQL.  Words and shingles are represented by 64-bit hashes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ _BYTE = np.zeros(256, bool)
 _BYTE[ord("0") : ord("9") + 1] = _BYTE[ord("a") : ord("z") + 1] = True
 _BYTE[0x80:] = True
 _RAND = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Bytes of text that are hashed at once; bounds the memory of a task.
 CHUNK = 1 << 20
 
@@ -132,6 +134,13 @@ def ids_of(bounds: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
 
 
+def tidy() -> None:
+    """Give freed memory back, as a Python worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(batch: pa.RecordBatch, column: str | int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece has at most limit bytes in the column, or one row."""
     if not batch.num_rows:
@@ -142,3 +151,4 @@ def slices(batch: pa.RecordBatch, column: str | int, limit: int = 4 << 20) -> It
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+    tidy()
