@@ -174,4 +174,5 @@ def one_of_each(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_co
     key = [F.col(f"`{id_col}`"), F.col(f"`{text_col}`")]
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
     nth = F.row_number().over(Window.partitionBy(*key).orderBy(*(rest or [F.lit(1)])))
-    return others.unionByName(twice.withColumn("__nth", nth).where("__nth = 1").drop("__nth"))
+    free = "__nth" + "_" * max(map(len, docs.columns))  # longer than any name there is
+    return others.unionByName(twice.withColumn(free, nth).where(F.col(free) == 1).drop(free))

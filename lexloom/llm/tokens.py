@@ -49,12 +49,12 @@ def encoder(path: str, kind: str) -> Callable[[list[str]], list[int]]:
     raise ValueError(f"unknown kind of vocabulary: {kind}")
 
 
-def pieces(text: str, limit: int) -> list[str]:
-    """Cut a text at the first safe boundary after every limit characters; the pieces' counts add up to the text's."""
+def pieces(text: str, limit: int, prefix: bool = False) -> list[str]:
+    """Cut a text at the first safe boundary after every limit characters; the pieces' counts add up to the text's. prefix: the encoder puts a space before a text itself, so that a piece goes without its own."""
     out, i = [], 0
     while len(text) - i > limit and (m := _SAFE.search(text, i + limit)):
         out.append(text[i : m.start()])
-        i = m.start()
+        i = m.end() if prefix else m.start()
     return [*out, text[i:]]
 
 
@@ -75,7 +75,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 offsets, _ = raw(batch.column(1))
                 for text, size in zip(batch.column(1).to_pylist(), np.diff(offsets)):
                     if size > piece_chars:
-                        texts += pieces(text, piece_chars)
+                        texts += pieces(text, piece_chars, kind == "sentencepiece")
                     elif size:
                         texts.append(text)
                     first.append(len(texts))
