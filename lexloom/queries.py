@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as fn
-from lexloom.operators import dedup, html, scoring
+from lexloom.operators import dedup, html, plugins, scoring
+from lexloom.plans import cleaning
+from lexloom.plans.config import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -157,3 +159,45 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", html.extract(F.col("html"), markdown=True, keep_links=True).alias("text"))
+
+
+def shout(text: str, meta: dict, config: dict) -> dict:
+    """A plugin: the share of upper-case ASCII letters, and a rejection above config["most"]."""
+    share = sum("A" <= c <= "Z" for c in text) / len(text) if text else 0.0
+    return {"score": share, "accept": share <= config["most"], "reason": "upper case"}
+
+
+@query("""
+    SELECT doc_id, round(s + 1e-12, 9) AS score, CASE WHEN s > 0.3 THEN 'plugin:shout:upper case' END AS reason
+    FROM (SELECT doc_id, CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[^A-Z]', '', 'g'))::DOUBLE / length(text) ELSE 0.0 END AS s FROM documents)""")
+def plugin_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = plugins.chain(F.col("text"), F.lit("{}"), [{"name": "shout", "path": "lexloom.queries:shout", "config": {"most": 0.3}, "timeout_ms": 5000}])
+    return _table(spark, sf_dir, "documents").select("doc_id", done.alias("p")).select("doc_id", F.round(F.col("p.scores")["shout"] + 1e-12, 9).alias("score"), F.col("p.reason").alias("reason"))
+
+
+_JOB = """
+[input]
+format = "text"
+paths = ["documents"]
+[output]
+format = "parquet"
+path = "cleaned"
+[scoring.text_quality]
+max_duplicate_line_ratio = 0.2
+max_symbol_ratio = 0.1
+[scoring.content_quality]
+max_seo_spam_score = 0.2
+[filters.thresholds]
+reject_on_residual_html = true
+[dedup]
+exact = true
+"""
+
+
+@query(f"""WITH {_scored()},
+    e AS (SELECT doc_id, t, CASE WHEN duplicate_line_ratio > 0.2 THEN 'duplicate_line_ratio_exceeded' WHEN symbol_digit_ratio > 0.1 THEN 'symbol_ratio_exceeded' WHEN seo_spam_score > 0.2 THEN 'seo_spam_score_exceeded' WHEN has_residual_html THEN 'residual_html_detected' END AS why FROM d JOIN a USING (doc_id)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY t, why IS NULL ORDER BY doc_id) AS nth FROM e)
+    SELECT doc_id, CASE WHEN why IS NOT NULL OR nth > 1 THEN 'rejected' ELSE 'accepted' END AS outcome, coalesce(why, CASE WHEN nth > 1 THEN 'duplicate_exact' END) AS reason FROM r""")
+def cleaning_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").select(F.struct(F.lit(0).alias("file_rank"), F.col("doc_id").alias("rec_no")).alias("ord"), F.col("doc_id").cast("string").alias("id"), F.lit("documents").alias("source_path"), "text", F.lit("{}").alias("meta"), F.lit(None).cast("string").alias("error"))
+    return cleaning.decide(rows, load(_JOB)).select(F.col("ord.rec_no").alias("doc_id"), "outcome", "reason")
