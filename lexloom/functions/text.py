@@ -23,7 +23,7 @@ def _text(text: Column) -> Column:
 
 
 def _share(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, part.cast("double") / whole).otherwise(F.lit(0.0))
+    return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
 def trimmed(text: Column) -> Column:
@@ -34,21 +34,25 @@ def trimmed(text: Column) -> Column:
 def char_ratios(text: Column) -> dict[str, Column]:
     """Shares of characters by class; other is the rest, white space included. An empty text has 0 of each."""
     text, n = _text(text), F.length(_text(text))
-    parts = {k: F.length(F.regexp_replace(text, f"[^{c}]", "")) for k, c in CHAR_CLASSES.items()}
-    parts["other"] = F.length(F.regexp_replace(text, f"[{''.join(CHAR_CLASSES.values())}]", ""))
+    parts = {k: F.length(F.regexp_replace(text, f"[^{c}]+", "")) for k, c in CHAR_CLASSES.items()}
+    parts["other"] = F.length(F.regexp_replace(text, f"[{''.join(CHAR_CLASSES.values())}]+", ""))
     return {k: _share(v, n) for k, v in parts.items()}
 
 
-def duplicate_line_ratio(text: Column) -> Column:
-    """Lines that repeat an earlier one, as a share of the lines that aren't blank."""
-    lines = F.filter(F.split(_text(text), "\r?\n"), lambda x: F.length(F.btrim(x, F.lit(WS))) > 0)
+def lines(text: Column) -> Column:
+    """Lines that aren't blank."""
+    return F.filter(F.split(_text(text), "\r?\n"), lambda x: F.length(F.btrim(x, F.lit(WS))) > 0)
+
+
+def duplicate_line_ratio(lines: Column) -> Column:
+    """Lines that repeat an earlier one, as a share of all lines."""
     return _share(F.size(lines) - F.size(F.array_distinct(lines)), F.size(lines))
 
 
 def symbol_digit_ratio(text: Column) -> Column:
     """ASCII digits and punctuation as a share of the characters that aren't white space."""
     text = _text(text)
-    return _share(F.length(F.regexp_replace(text, r"[^!-/0-9:-@\[-`{-~]", "")), F.length(F.regexp_replace(text, f"[{WS}]", "")))
+    return _share(F.length(F.regexp_replace(text, r"[^!-/0-9:-@\[-`{-~]+", "")), F.length(F.regexp_replace(text, f"[{WS}]+", "")))
 
 
 def sentence_lengths(text: Column) -> Column:
@@ -58,10 +62,10 @@ def sentence_lengths(text: Column) -> Column:
 
 def sentence_stats(lengths: Column) -> tuple[Column, Column]:
     """Mean and population variance of sentence lengths; 0 and 0 without sentences."""
-    n = F.size(lengths)
-    mean = _share(F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x), n)
-    squares = F.aggregate(F.transform(lengths, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda a, x: a + x)
-    return mean, _share(squares, n)
+    start = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    sums = F.aggregate(lengths, start, lambda s, x: F.struct((s["a"] + x).alias("a"), (s["b"] + x.cast("long") * x).alias("b")), lambda s: F.struct(s["a"], s["b"]))
+    n = F.size(lengths).cast("long")
+    return _share(sums["a"], n), _share(n * sums["b"] - sums["a"] * sums["a"], n * n)
 
 
 def has_residual_html(text: Column) -> Column:
@@ -124,7 +128,7 @@ def detected_language(text: Column, allow: Iterable[str] = ()) -> Column:
     codes = [c.lower() for c in allow] or list(LANGUAGES)
     if bad := [c for c in codes if c not in LANGUAGES]:
         raise ValueError(f"unsupported language: {', '.join(bad)}")
-    count = {c: F.length(F.regexp_replace(_text(text), f"[^{p}]", "")) if c in codes else F.lit(0) for c, p in (("ja", _JA), ("en", _EN))}
+    count = {c: F.length(F.regexp_replace(_text(text), f"[^{p}]+", "")) if c in codes else F.lit(0) for c, p in (("ja", _JA), ("en", _EN))}
     return F.when((count["ja"] == 0) & (count["en"] == 0), F.lit(None).cast("string")).when(count["ja"] >= count["en"], "ja").otherwise("en")
 
 

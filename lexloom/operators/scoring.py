@@ -20,16 +20,16 @@ def score(df: DataFrame, text_col: str = "text", allow: Iterable[str] = (), ad_k
     """df with a column for each of FIELDS, of the trimmed text. Words and sentences are cut once."""
     patterns = fn.ad_patterns(ad_keywords, ad_patterns)
     text = fn.trimmed(F.col(text_col))
-    first = df.withColumns({"__t": text, "__w": fn.words(text), "__s": fn.sentence_lengths(text), "detected_language": fn.detected_language(text, allow)})
     t, w = F.col("__t"), F.col("__w")
+    first = df.withColumn("__t", text).withColumns({"__w": fn.words(t), "__s": fn.sentence_lengths(t), "__l": fn.lines(t), "detected_language": fn.detected_language(t, allow)})
     mean, variance = fn.sentence_stats(F.col("__s"))
     columns = {f"char_{k}": v for k, v in fn.char_ratios(t).items()} | {
-        "language_mixed_ratio": fn.language_mixed_ratio(t, F.col("detected_language")), "duplicate_line_ratio": fn.duplicate_line_ratio(t), "symbol_digit_ratio": fn.symbol_digit_ratio(t),
+        "language_mixed_ratio": fn.language_mixed_ratio(t, F.col("detected_language")), "duplicate_line_ratio": fn.duplicate_line_ratio(F.col("__l")), "symbol_digit_ratio": fn.symbol_digit_ratio(t),
         "avg_sentence_length": mean, "sentence_length_variance": variance, "has_residual_html": fn.has_residual_html(t), "has_residual_url": fn.has_residual_url(t),
         "ad_keyword_ratio": fn.ad_keyword_ratio(t, w, patterns), "seo_spam_score": fn.seo_spam_score(w),
     }
     done = first.withColumns(columns)
-    return done.withColumn("naturalness_score", fn.naturalness_score(w, F.col("seo_spam_score"))).drop("__t", "__w", "__s")
+    return done.withColumn("naturalness_score", fn.naturalness_score(w, F.col("seo_spam_score"))).drop("__t", "__w", "__s", "__l")
 
 
 _COMPARE = {"lt": lambda a, b: a < b, "lte": lambda a, b: a <= b, "gt": lambda a, b: a > b, "gte": lambda a, b: a >= b, "eq": lambda a, b: a == b, "ne": lambda a, b: a != b}
