@@ -302,6 +302,20 @@ def test_repeated_passages(spark, docs, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def test_passages_beside_shorter_fragments_of_them(spark):
+    rng = random.Random(21)
+    rows, want = [], []
+    for k in range(40):  # the lowest id has too little of the passage, two others have all of it
+        shared = [f"q{rng.randrange(10**6)}" for _ in range(50)]
+        other = lambda: [f"q{rng.randrange(10**6)}" for _ in range(60)]
+        at = rng.randrange(2)
+        for i, part in enumerate((shared[at : at + 49], shared, shared)):
+            rows.append((10 * k + i, " ".join([*other(), *part, *other()])))
+        want.append((10 * k + 2, 10 * k + 1))
+    got = {(r.doc_id, r.other_id) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), similarity=1.0).collect()}
+    assert got == set(want)
+
+
 def test_html():
     assert html.render("<p>a<p>b <b>c<br>d") == "a\n\nb c\nd"
     assert html.render("<ul><li>x<li>y<ol start=3><li>p<li>q</ol></ul>z") == "- x\n- y\n  3. p\n  4. q\n\nz"
