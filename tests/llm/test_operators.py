@@ -316,6 +316,35 @@ def test_passages_beside_shorter_fragments_of_them(spark):
     assert got == set(want)
 
 
+def test_passages_at_the_threshold(spark):
+    rng = random.Random(22)
+    rows = []
+    for k in range(300):
+        size = (50, 50, 80)[k % 3]
+        part = [f"q{rng.randrange(10**6)}" for _ in range(size)]
+        other = lambda: [f"q{rng.randrange(10**6)}" for _ in range(60)]
+        rows.append((2 * k, " ".join([*other(), *part, *other()])))
+        for i in rng.sample(range(size), size // 5):
+            part[i] = f"q{rng.randrange(10**6)}"
+        rows.append((2 * k + 1, " ".join([*other(), *part, *other()])))
+    got = {(r.doc_id, r.other_id) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for sizes in ((0, 1), (2,)):
+        want = {(2 * k + 1, 2 * k) for k in range(300) if k % 3 in sizes}
+        print(sizes, len(got & want) / len(want))
+        assert len(got & want) >= 0.9 * len(want)
+    assert all(a == b + 1 for a, b in got)
+
+
+def test_dense_passages_are_those_of_brute_force():
+    rng = np.random.default_rng(23)
+    for _ in range(200):
+        m = rng.random(60) < rng.choice([0.7, 0.8, 0.9])
+        all_of = [(i, j) for i in range(61) for j in range(i + 20, 61) if m[i:j].sum() >= 0.8 * (j - i) - 1e-9]
+        got = passages._dense(m, 20, 0.8)
+        assert all((i, j) in all_of and k == m[i:j].sum() for i, j, k in got)
+        assert all(any(s < j and i < e for s, e, _ in got) for i, j in all_of)
+
+
 def test_html():
     assert html.render("<p>a<p>b <b>c<br>d") == "a\n\nb c\nd"
     assert html.render("<ul><li>x<li>y<ol start=3><li>p<li>q</ol></ul>z") == "- x\n- y\n  3. p\n  4. q\n\nz"
