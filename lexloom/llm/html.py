@@ -34,6 +34,8 @@ _IMPLIED = {
     "body": (("head",), ("html",)), "rt": (("rt", "rp"), ("ruby",)), "rp": (("rt", "rp"), ("ruby",)),
 }
 _TABLE_PARTS = frozenset("tr td th thead tbody tfoot caption".split())
+#: Starts of these, and no others, leave an open head open.
+_IN_HEAD = frozenset("head base basefont bgsound link meta title script style noscript noframes template".split())
 #: Elements nested deeper lose their tags, not their text.
 DEPTH = 200
 #: Wider cells aren't padded, so that one long text doesn't stretch a column.
@@ -41,13 +43,15 @@ CELL = 40
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "visible")
+    __slots__ = ("tag", "attrs", "children", "visible", "gone")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None) -> None:
         self.tag, self.attrs = tag, attrs or {}
         self.children: list[Node | str] = []
         #: None: as its parent is.
         self.visible: bool | None = None
+        #: Not displayed, nor what is in it: on the stack, so that its end is found, but not in the tree.
+        self.gone = False
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -77,19 +81,29 @@ def parse(source: str) -> Node:
     """The tree of what can be seen: elements that aren't displayed are left out, inline elements without style are dissolved."""
     root = Node("html")
     stack = [root]
-    skipping: list[str] = []  # open elements of a part that isn't displayed
+    unopened: dict[str, int] = {}  # start tags of a part that isn't displayed that are too deep for the stack
     at, end = 0, len(source)
 
     def text(piece: str) -> None:
-        if piece and not skipping:
+        if stack[-1].tag == "head" and piece.strip():
+            stack.pop()
+        if piece and not stack[-1].gone:
             stack[-1].children.append(unescape(piece) if "&" in piece else piece)
 
+    def add(node: Node, opens: bool) -> None:
+        node.gone = node.gone or stack[-1].gone
+        if not node.gone:
+            stack[-1].children.append(node)
+        if opens:
+            stack.append(node)
+
     def close(tags: tuple[str, ...], bounds: tuple[str, ...]) -> None:
         for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in bounds:
+            if stack[i].tag in bounds or stack[i].tag == "template":
                 break
             if stack[i].tag in tags:
                 del stack[i:]
+                unopened.clear()
                 close(tags, bounds)
                 return
 
@@ -103,45 +117,39 @@ def parse(source: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            if skipping:
-                if tag in skipping:
-                    while skipping.pop() != tag:
-                        pass
+            if stack[-1].gone and unopened.get(tag):
+                unopened[tag] -= 1
                 continue
             if tag == "br":
-                stack[-1].children.append(Node("br"))
+                add(Node("br"), False)
                 continue
             wanted = _HEADINGS if tag in _HEADINGS else (tag,)
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in wanted:
                     del stack[i:]
+                    unopened.clear()
                     break
-                if stack[i].tag == "table" or stack[i].tag in ("td", "th", "caption") and tag not in _TABLE_PARTS and tag != "table":
+                if stack[i].tag in ("table", "object", "template") or stack[i].tag in ("td", "th", "caption") and tag not in _TABLE_PARTS and tag != "table":
                     break
             else:
                 if tag == "p":
-                    stack[-1].children.append(Node("p"))
+                    add(Node("p"), False)
             continue
         rest = m[3]
-        if skipping:
-            if tag == "body" and skipping[0] == "head":
-                skipping.clear()
-            elif tag not in _VOID and not rest.endswith("/"):
-                if tag in _RAW:
-                    found = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(source, at)
-                    at = found.start() if found else end
-                skipping.append(tag)
-                continue
-            else:
-                continue
-        if tag in ("html", "body"):
+        if rest.endswith("/") and stack[-1].gone and any(x.tag == "svg" for x in stack):
+            continue
+        if tag not in _IN_HEAD:
             for i in range(1, len(stack)):
+                if stack[i].tag == "template":
+                    break
                 if stack[i].tag == "head":
                     del stack[i:]
                     break
+        if tag in ("html", "body"):
             node = Node(tag, attributes(rest)) if rest else None
             if node and not _styled(node):
-                skipping.append(tag)
+                node.gone = True
+                add(node, True)
             continue
         if tag in _RAW:
             found = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(source, at)
@@ -150,39 +158,42 @@ def parse(source: str) -> Node:
                 node = Node(tag, attributes(rest))
                 if _styled(node):
                     node.children.append(unescape(source[at:stop]) if tag == "textarea" else source[at:stop])
-                    stack[-1].children.append(node)
+                    add(node, False)
             at = stop
             continue
-        if tag in _HIDDEN:
-            if not rest.endswith("/") or tag not in ("svg",):
-                skipping.append(tag)
-            continue
         if tag in _ENDS_P:
-            close(("p",), ("td", "th", "caption", "table", "button", "object"))
+            close(("p",), ("td", "th", "caption", "table", "button", "object", "template"))
         if (implied := _IMPLIED.get(tag)) is not None:
             close(*implied)
+        if tag in _HIDDEN:
+            if not rest.endswith("/") or tag not in ("svg",):
+                if len(stack) < 2 * DEPTH or not stack[-1].gone:
+                    node = Node(tag)
+                    node.gone = True
+                    add(node, True)
+                else:
+                    unopened[tag] = unopened.get(tag, 0) + 1
+            continue
         if tag in ("td", "th", "tr") and not any(x.tag == "table" for x in stack):
             continue
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
-            row = Node("tr")
-            stack[-1].children.append(row)
-            stack.append(row)
+            add(Node("tr"), True)
         if tag in _HEADINGS and stack[-1].tag in _HEADINGS:
             stack.pop()
-        if tag not in _BLOCK and tag not in ("br", "rt") and not rest:
+        inline = tag not in _BLOCK and tag not in ("br", "rt", "ruby") and not any(x.tag == tag for x in stack)
+        if inline and not rest:
             continue
         node = Node(tag, attributes(rest) if rest else None)
-        if tag not in _BLOCK and tag not in ("br", "rt") and not ("hidden" in node.attrs or "style" in node.attrs):
-            continue
-        if not _styled(node):
-            if tag not in _VOID:
-                skipping.append(tag)
+        if inline and not ("hidden" in node.attrs or "style" in node.attrs):
             continue
-        if len(stack) >= DEPTH and tag not in _VOID:
-            continue
-        stack[-1].children.append(node)
-        if tag not in _VOID:
-            stack.append(node)
+        node.gone = not _styled(node)
+        if tag in _VOID:
+            if not node.gone:
+                add(node, False)
+        elif len(stack) < DEPTH or node.gone and not stack[-1].gone or stack[-1].gone and len(stack) < 2 * DEPTH:
+            add(node, True)
+        elif stack[-1].gone:
+            unopened[tag] = unopened.get(tag, 0) + 1
     text(source[at:])
     return root
 

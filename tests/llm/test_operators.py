@@ -359,6 +359,21 @@ def test_html():
     assert html.render("<a href='" * 2000).strip() == "" and "x" in html.render("x<" * 3000)
 
 
+def test_html_ends_hidden_elements_without_end_tags():
+    assert html.render("<ul><li hidden>x<li>y</ul><p>rest") == "- y\n\nrest"
+    assert html.render("<p style='display:none'>a<p>b") == "b"
+    assert html.render("<div><p hidden>x</div>rest") == "rest"
+    assert html.render("<table><tr><td hidden>a<td>b<tr hidden><td>c<tr><td>d</table>e") == "b\nd\n\ne"
+    assert html.render("<table><tr><td>a<td hidden>b</table>e") == "a\n\ne"
+    assert html.render("<head><title>t</title><p>a") == "a" and html.render("<head><meta name=x>a") == "a"
+    assert html.render("<div><video><source src=x></div>y") == "y"
+    assert html.render("<ruby>k<rp>(<rt>r<rp>)</ruby>z") == "krz"
+    assert html.render("<span hidden>a<span>b</span>c</span>d") == "d"
+    assert html.render("<div hidden><ul><li>a<li>b</ul><table><tr><td>c</table><p>d</div>e") == "e"
+    assert html.render("<div>v<template><p>a</div>b</template>w</div>") == "vw"
+    assert html.render("<div hidden>" + "<div>" * 3000 + "x" + "</div>" * 3000 + "y</div>z") == "z"
+
+
 def test_html_keeps_every_visible_word(spark, empty):
     from html.parser import HTMLParser
 
