@@ -207,6 +207,24 @@ def test_jaccard_join_finds_every_pair(spark, docs, empty):
     assert jaccard.jaccard_join(empty).count() == 0
 
 
+def test_short_jaccard_pairs_expand_to_every_pair(spark):
+    rng = random.Random(24)
+    texts = [prose(rng, 80) for _ in range(6)]
+    texts += [edited(rng, t, 0.03) for t in texts for _ in range(2)]
+    rows = list(enumerate(t for t in texts for _ in range(3)))
+    rng.shuffle(rows)
+    s = {i: grams(t, 5) for i, t in rows}
+    want = {(a, b): round(j, 9) for a in s for b in s if a > b and (j := len(s[a] & s[b]) / len(s[a] | s[b])) >= 0.45 - 1e-12}
+    short = [tuple(r) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "other_id", "jaccard").collect()]
+    members = {i: [i] for i in s}
+    for a, b, j in short:
+        if j == 1:
+            members[b].append(a)
+    got = {(max(x, y), min(x, y)): round(j, 9) for a, b, j in short if j < 1 for x in members[a] for y in members[b]}
+    got |= {(max(x, y), min(x, y)): 1.0 for m in members.values() for x in m for y in m if x != y}
+    assert len(short) < len(want) and got == want
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(1, 20)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
