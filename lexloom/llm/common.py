@@ -58,6 +58,12 @@ def buckets(spark: SparkSession) -> int:
     return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts(rows: DataFrame, each: int = 16 << 20, text_col: str = "text") -> int:
+    """How many parts such a step needs for these texts: each of them stands for no more than so many bytes of text, whatever the settings."""
+    total = rows.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(buckets(rows.sparkSession), -(-total // each))
+
+
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string) of the rows that have both an id and a text; every other column is left behind, so none can clash."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null and text is not null")

@@ -9,11 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import buckets, by_size, release, scratch, texts
+from lexloom.llm.common import by_size, parts, release, scratch, texts
 from lexloom.llm.words import ids_of, mix, shingles, slices, tidy, words
 
 #: Runs of values by owner, cut by bucket: owners and counts describe whose values follow each other in h.
 _RUNS = "bucket int, owners binary, sizes binary, counts binary, h binary, df binary"
+#: Bytes of a shingle, besides its bucket, by which documents that share none are ruled out: shingles that agree in them by chance keep a document in, never out.
+COUNTED = 5
+#: Groups that meet in one cell; larger clusters are cut into blocks, and every two blocks are a cell.
+BLOCK = 1024
 _SCHEMA = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("owners", "sizes", "counts", "h", "df"))])
 
 
@@ -87,10 +91,10 @@ def _alive(rows: DataFrame, n: int, threshold: float, cuts: int) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, 1, 2 << 20):
                 h, bounds = sets_of(batch.column(1), n)
-                yield from _cut(_bucket(h, cuts), np.repeat(batch.column(0).to_numpy(), np.diff(bounds)), np.zeros(len(h), np.int32), h, 6)
+                yield from _cut(_bucket(h, cuts), np.repeat(batch.column(0).to_numpy(), np.diff(bounds)), np.zeros(len(h), np.int32), h, COUNTED)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, owner, _, h, _ in _runs(batches, 6):
+        for _, owner, _, h, _ in _runs(batches, COUNTED):
             order, df = _frequent(owner, h)
             ids, at = np.unique(owner[order], return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.bincount(at, df > 1, len(ids)).astype(np.int64)), pa.array(np.bincount(at, minlength=len(ids)).astype(np.int64))], ["doc_id", "shared", "total"])
@@ -149,97 +153,129 @@ def _prefixes(sets: DataFrame, threshold: float, cuts: int) -> DataFrame:
 
 
 def _candidates(groups: DataFrame, threshold: float, cuts: int) -> DataFrame:
-    """(a, b, h): pairs of groups with a shingle in common in the prefixes that can reach the threshold by their sizes and its places; h is the least such shingle."""
+    """(a, b, cell): pairs of groups with a shingle in common in the prefixes that can reach the threshold by their sizes and its places.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(3)
-            number = np.diff(lists.offsets.to_numpy())
-            h = lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()].view(np.uint64)
-            place = np.arange(len(h)) - np.repeat(np.cumsum(number) - number, number) + np.repeat(batch.column(2).to_numpy(), number)
-            bucket = _bucket(h, cuts)
-            order = np.argsort(bucket, kind="stable")
-            column = lambda i: pa.array(np.repeat(batch.column(i).to_numpy(), number)[order])
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[order]), pa.array(h.view(np.int64)[order]), column(0), column(1), pa.array(place[order])], ["bucket", "h", "g", "size", "place"])
+    Shingles meet by the least group that has them, so that those of one
+    cluster are together and a pair that shares many of them is found once, and not
+    once for each.  A cluster of more than BLOCK groups is cut into blocks by hash; two blocks make a cell,
+    so no task holds more than two of them.
+    """
+    index = groups.select("g", "size", "lone", F.posexplode("prefix").alias("place", "h")).select("h", "g", "size", (F.col("place") + F.col("lone")).alias("place"))
+    met = scratch(index.groupBy("h").agg(F.count("*").alias("n"), F.min("g").alias("least")).where("n > 1"))
+    wide = met.groupBy("least").agg(F.ceil(F.max("n") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    located = index.join(by_size(met.join(by_size(wide), "least", "left").select("h", "least", F.coalesce("blocks", F.lit(1)).alias("blocks"))), "h")
+    block = F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int").alias("block")
+    cells = located.select("h", "g", "size", "place", "least", block, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cell = F.xxhash64("least", F.least("block", "other"), F.greatest("block", "other")).alias("cell")
+    rows = cells.select(cell, "h", "size", "g", "place", F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = [b for b in batches if b.num_rows]
-        if not some:
-            return
-        table = pa.Table.from_batches(some)
-        h, g, size, place = (table[c].to_numpy() for c in ("h", "g", "size", "place"))
-        order = np.lexsort((g, size, h))
-        h, g, size, place = h[order], g[order], size[order], place[order]
-        indexed = size - np.ceil(2 * threshold / (1 + threshold) * size - 1e-9).astype(np.int64) + 1  # of the smaller set fewer have to be looked at
-        left = np.flatnonzero(place < indexed)
-        found, held = [], 0
-
-        def distinct() -> np.ndarray:
-            every = np.concatenate(found)
-            every = every[np.lexsort((every[:, 2], every[:, 1], every[:, 0]))]
-            return every[np.r_[True, (every[1:, :2] != every[:-1, :2]).any(axis=1)]]
-
-        def rows(x: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, k])) for k in range(3)], ["a", "b", "h"])
-
-        step = 1
-        while len(left):
-            left = left[left + step < len(h)]
-            right = left + step
-            near = (h[right] == h[left]) & (size[left] >= threshold * size[right] - 1e-9)
-            left, right = left[near], right[near]
-            most = np.minimum(size[left] - place[left], size[right] - place[right])
-            good = most >= threshold / (1 + threshold) * (size[left] + size[right]) - 1e-9
-            if good.any():
-                a, b = g[left[good]], g[right[good]]
-                found.append(np.stack([np.minimum(a, b), np.maximum(a, b), h[left[good]]], 1))
-                held += len(a)
-                if held > 2_000_000:
-                    found = [distinct()]
-                    held = len(found[0])
-                    if held > 1_000_000:
-                        yield rows(found[0])
-                        found, held = [], 0
-            step += 1
-        if found:
-            yield rows(distinct())
-
-    index = groups.select("g", "size", "lone", "prefix").mapInArrow(_plain(cut), "bucket int, h long, g long, size long, place long")
-    return index.repartition(cuts, "bucket").mapInArrow(pair, "a long, b long, h long").groupBy("a", "b").agg(F.min("h").alias("h"))
-
-
-def _plain(cut):  # the prefix column comes with offsets from anywhere
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 5000):
-                yield from cut([batch.slice(i, 5000)])
+        for table in _whole(batches, "cell"):
+            cell, h, size, g, place, side = (table[c].to_numpy() for c in ("cell", "h", "size", "g", "place", "side"))
+            indexed = size - np.ceil(2 * threshold / (1 + threshold) * size - 1e-9).astype(np.int64) + 1  # of the smaller set fewer have to be looked at
+            left = np.flatnonzero(place < indexed)
+            found, held = [], 0
+
+            def distinct() -> np.ndarray:
+                every = np.concatenate(found)
+                every = every[np.lexsort((every[:, 2], every[:, 1], every[:, 0]))]
+                return every[np.r_[True, (every[1:, :2] != every[:-1, :2]).any(axis=1)]]
+
+            def result(x: np.ndarray) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, k])) for k in range(3)], ["a", "b", "cell"])
+
+            step = 1
+            while len(left):
+                left = left[left + step < len(h)]
+                right = left + step
+                near = (h[right] == h[left]) & (cell[right] == cell[left]) & (size[left] >= threshold * size[right] - 1e-9)
+                left, right = left[near], right[near]
+                most = np.minimum(size[left] - place[left], size[right] - place[right])
+                good = (most >= threshold / (1 + threshold) * (size[left] + size[right]) - 1e-9) & ((side[left] == 0) | (side[left] != side[right]))
+                if good.any():
+                    a, b = g[left[good]], g[right[good]]
+                    found.append(np.stack([np.minimum(a, b), np.maximum(a, b), cell[left[good]]], 1))
+                    held += len(a)
+                    if held > 2_000_000:
+                        found = [distinct()]
+                        held = len(found[0])
+                        if held > 1_000_000:
+                            yield result(found[0])
+                            found, held = [], 0
+                step += 1
+            if found:
+                yield result(distinct())
+
+    sorted_rows = rows.repartition(cuts, "cell").sortWithinPartitions("cell", "h", "size", "g")
+    return sorted_rows.mapInArrow(pair, "a long, b long, cell long").groupBy("a", "b").agg(F.min("cell").alias("cell"))
+
+
+def _whole(batches: Iterator[pa.RecordBatch], column: str, rows: int = 100_000) -> Iterator[pa.Table]:
+    """Batches of sorted rows put together so that no value of the column is cut: about as many rows each, or one value's."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            values = batch.column(column).to_numpy()
+            last = int(np.flatnonzero(values != values[-1])[-1]) + 1 if values[0] != values[-1] else 0
+            if last or held[:-1] and held[-2].column(column)[-1].as_py() != values[0]:
+                yield pa.Table.from_batches([*held[:-1], batch.slice(0, last)])
+                held = [batch.slice(last)]
+                n = held[0].num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _check(threshold: float) -> None:
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
 
-    return run
 
+class _Forest:
+    """Union-find over the pairs of a task: which of them join what isn't connected yet."""
 
-def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.45, id_col: str = "doc_id", text_col: str = "text", expand: bool = False) -> DataFrame:
-    """(doc_id long, other_id long, jaccard double): pairs of documents whose sets of n-word shingles have at least this Jaccard similarity.
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
 
-    Documents with equal sets are listed once: each of them with the one of
-    least id, as (its id, least id, 1.0).  Between different sets a pair is listed for the least ids
-    of the two, the larger id first; the other documents of the sets are in the same pairs.
-    So the result says everything and yet a text with a million copies takes
-    a million rows.  expand=True lists every pair of documents instead.
+    def root(self, x: int) -> int:
+        up = self.up
+        top = x
+        while (above := up.get(top, top)) != top:
+            top = above
+        while (above := up.get(x, x)) != top:
+            up[x] = top
+            x = above
+        return top
 
-    A text of fewer than n words has one shingle, of all of them; one without
-    words, and rows with a null id or text, are in no pair.  Rows that repeat an
-    id are texts of their own, but an id is in no pair with itself.
+    def joins(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+        return x != y
 
-    Documents of whose shingles too few occur elsewhere are left out first.
-    For the others shingles are ordered by rarity; nodes with the same prefix and
-    size are one group, groups meet in the shingles of their prefixes, sizes and places
-    rule pairs out, and the members of the pairs left are verified with whole sets.
+
+def _common(p: np.ndarray, q: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    if len(p) > len(q):
+        p, q = q, p
+    place = np.searchsorted(q, p)
+    place[place == len(q)] = 0
+    return int((q[place] == p).sum())
+
+
+def _similar(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str, pairs_only: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes (node, least, members), ids (node, doc_id) and what the verified pairs of nodes give.
+
+    That is every pair as (x, y, value = Jaccard) if pairs_only; else for each node parts of the number of documents
+    in similar nodes, as (x, null, number), and enough of the pairs to connect all that are, as (x, y, null).
     """
-    if not 0 < threshold <= 1:
-        raise ValueError("threshold must be above 0 and at most 1")
     spark = docs.sparkSession
-    cuts = buckets(spark)
     rows = texts(docs, id_col, text_col)
+    cuts = parts(rows)
     alive = _alive(rows, n, threshold, cuts)
     release(spark)
 
@@ -257,47 +293,85 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.45, id_col: s
 
     same = ["f1", "f2", "size"]
     whole = scratch(rows.join(by_size(alive), "doc_id", "left_semi").mapInArrow(collect, "doc_id long, f1 long, f2 long, size int, h binary"))
-    first = whole.groupBy(*same).agg(F.min("doc_id").alias("least"))
-    nodes = scratch(first.withColumn("node", F.monotonically_increasing_id()))
-    ids = whole.select("doc_id", *same).distinct().join(by_size(nodes), same).select("node", "doc_id", "least")
-    sets = whole.join(by_size(nodes.withColumnRenamed("least", "doc_id")), ["doc_id", *same]).select("node", "size", "h")
+    owners = whole.select("doc_id", *same).distinct()
+    nodes = scratch(owners.groupBy(*same).agg(F.min("doc_id").alias("least"), F.count("*").alias("members")).withColumn("node", F.monotonically_increasing_id()))
+    ids = owners.join(by_size(nodes), same).select("node", "doc_id", "least")
+    sets = whole.join(by_size(nodes.withColumnRenamed("least", "doc_id")), ["doc_id", *same]).dropDuplicates(["node"]).select("node", "size", "members", "h")
     prefixes = _prefixes(sets, threshold, cuts)
     release(spark)
-    members = prefixes.withColumn("g", F.min("node").over(Window.partitionBy("g1", "g2", "size")))
-    members = scratch(members.select("g", "node", "size", "lone", F.when(F.col("g") == F.col("node"), F.col("prefix")).alias("prefix")))
-    met = _candidates(members.where("g = node"), threshold, max(1, cuts // 8))  # the fewer parts, the fewer of them find the same pair
-    own = members.select("g", "node")
-    left, right = own.toDF("a", "x"), own.toDF("b", "y")
-    between = met.join(left, "a").join(right, "b").select("h", "x", "y")
-    within = left.join(right, F.col("a") == F.col("b")).where("x < y").select(F.col("a").alias("h"), "x", "y")
+    alike = Window.partitionBy("g1", "g2", "size")
+    members = prefixes.withColumn("g", F.min("node").over(alike)).withColumn("blocks", F.ceil(F.count("*").over(alike) / BLOCK).cast("int"))
+    members = scratch(members.select("g", "node", "size", "lone", F.when(F.col("g") == F.col("node"), F.col("prefix")).alias("prefix"), F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")))
+    met = _candidates(members.where("g = node"), threshold, cuts)
+    own = members.select("g", "node", "block")
+    left, right = own.toDF("a", "x", "i"), own.toDF("b", "y", "j")
+    between = met.join(left, "a").join(right, "b").select(F.xxhash64("cell", "i", "j").alias("cell"), "x", "y")
+    within = left.join(right, F.col("a") == F.col("b")).where("x < y").select(F.xxhash64("a", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), "x", "y")
     pairs = scratch(between.union(within))
     release(spark)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, {}
+        key, held, forest, links = None, {}, _Forest(), {}
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(links.keys(), pa.int64()), pa.nulls(len(links), pa.int64()), pa.array(links.values(), pa.float64())], ["x", "y", "value"])
+
         for batch in batches:
-            out: list[tuple[int, int, float]] = []
-            for k, x, y, content in zip(*(c.to_pylist() for c in batch.columns)):
+            out: list[tuple[int, int, float | None]] = []
+            for k, x, y, number, content in zip(*(c.to_pylist() for c in batch.columns)):
                 if k != key:
                     key, held = k, {}
                 if y is None:
-                    held[x] = np.frombuffer(content, np.uint64)
+                    held[x] = np.frombuffer(content, np.uint64), number
                     continue
-                p, q = held[x], held[y]
-                place = np.searchsorted(q, p)
-                place[place == len(q)] = 0
-                common = int((q[place] == p).sum())
+                (p, mine), (q, yours) = held[x], held[y]
+                common = _common(p, q)
                 j = common / (len(p) + len(q) - common)
-                if j >= threshold - 1e-12:
+                if j < threshold - 1e-12:
+                    continue
+                if pairs_only:
                     out.append((x, y, j))
-            x, y, j = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(j, pa.float64())], ["x", "y", "jaccard"])
-
-    # pairs are verified where their shingle h is, so that a set travels once for all its pairs with others of the same h
-    wanted = pairs.select("h", F.col("x").alias("node")).union(pairs.select("h", "y")).distinct()
-    content = sets.select("node", F.col("h").alias("content")).join(by_size(wanted), "node").select("h", F.col("node").alias("x"), F.lit(None).cast("long").alias("y"), "content")
-    both = content.union(pairs.select("h", "x", "y", F.lit(None).cast("binary")))
-    similar = scratch(both.repartition("h").sortWithinPartitions("h", F.col("y").asc_nulls_first()).mapInArrow(verify, "x long, y long, jaccard double"))
+                else:
+                    links[x] = links.get(x, 0) + yours
+                    links[y] = links.get(y, 0) + mine
+                    if forest.joins(x, y):
+                        out.append((x, y, None))
+            columns = list(zip(*out)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["x", "y", "value"])
+            if len(links) > 200_000:
+                yield counted()
+                forest, links = _Forest(), {}
+        yield counted()
+
+    # pairs are verified where their cell is, so that a set travels once for all its pairs there
+    wanted = pairs.select("cell", F.col("x").alias("node")).union(pairs.select("cell", "y")).distinct()
+    content = sets.select("node", "members", F.col("h").alias("content")).join(by_size(wanted), "node").select("cell", F.col("node").alias("x"), F.lit(None).cast("long").alias("y"), "members", "content")
+    both = content.union(pairs.select("cell", "x", "y", F.lit(None).cast("long"), F.lit(None).cast("binary")))
+    found = scratch(both.repartition(cuts, "cell").sortWithinPartitions("cell", F.col("y").asc_nulls_first()).mapInArrow(verify, "x long, y long, value double"))
+    return nodes, ids, found
+
+
+def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.45, id_col: str = "doc_id", text_col: str = "text", expand: bool = False) -> DataFrame:
+    """(doc_id long, other_id long, jaccard double): pairs of documents whose sets of n-word shingles have at least this Jaccard similarity.
+
+    Documents with equal sets are listed once: each of them with the one of
+    least id, as (its id, least id, 1.0).  Between different sets a pair is listed for the least ids
+    of the two, the larger id first; the other documents of the sets are in the same pairs.
+    So the result says everything and yet a text with a million copies takes
+    a million rows.  expand=True lists every pair of documents instead.
+
+    A text of fewer than n words has one shingle, of all of them; one without
+    words, and rows with a null id or text, are in no pair.  Rows that repeat an
+    id are texts of their own, but an id is in no pair with itself.
+
+    Documents of whose shingles too few occur elsewhere are left out first.
+    For the others shingles are ordered by rarity; nodes with the same prefix and
+    size are one group, groups meet in the shingles of their prefixes, sizes and places
+    rule pairs out, and the members of the pairs left are verified with whole sets.
+    """
+    _check(threshold)
+    nodes, ids, similar = _similar(docs, n, threshold, id_col, text_col, True)
+    similar = similar.where("y is not null").select("x", "y", F.col("value").alias("jaccard"))
     if expand:
         p = similar.join(ids.select(F.col("node").alias("x"), F.col("doc_id").alias("p")), "x").join(ids.select(F.col("node").alias("y"), F.col("doc_id").alias("q")), "y").select("p", "q", "jaccard")
         twins = ids.select("node", F.col("doc_id").alias("p")).join(ids.select("node", F.col("doc_id").alias("q")), "node").where("p > q").select("p", "q", F.lit(1.0).alias("jaccard"))
@@ -309,6 +383,29 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.45, id_col: s
     return every.groupBy("doc_id", "other_id").agg(F.max("jaccard").alias("jaccard"))
 
 
+def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.45, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id long, class_id long, n_links long): one row for every document that is similar to another.
+
+    class_id is the least id of all documents that it is connected with by
+    pairs of the threshold, n_links the number of documents that it is in a pair with, those with an equal
+    set among them: every pair that jaccard_join with expand=True lists is verified
+    and counted, none is written.  A document without a pair has no row.
+
+    A text of fewer than n words has one shingle, of all of them; one without
+    words, and rows with a null id or text, are in no pair.  Rows that repeat id and set count once; rows that
+    repeat an id with other sets are documents of their own that share a row: their links are
+    added up, those between them too, and the class is the least of theirs.
+    """
+    _check(threshold)
+    nodes, ids, found = _similar(docs, n, threshold, id_col, text_col, False)
+    links = found.where("y is null").groupBy(F.col("x").alias("node")).agg(F.sum("value").cast("long").alias("links"))
+    of = nodes.select("node", "least")
+    edges = found.where("y is not null").join(by_size(of.toDF("x", "p")), "x").join(by_size(of.toDF("y", "q")), "y").select("p", "q")
+    heads = components(edges, "p", "q").toDF("least", "head")
+    known = nodes.join(by_size(links), "node", "left").join(by_size(heads), "least", "left").select("node", F.coalesce("head", "least").alias("class_id"), (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("links")).where("links > 0")
+    return ids.select("node", "doc_id").join(by_size(known), "node").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("n_links"))
+
+
 def components(pairs: DataFrame, a: str = "doc_id", b: str = "other_id", rounds: int = 60) -> DataFrame:
     """(doc_id long, kept_id long): for every id in pairs the least id that it is connected with, itself left out.
 

@@ -37,7 +37,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,15 +76,20 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, item_id, max(n) / max(size) AS containment, arg_min(pos, (-n, pos)) AS start_word
         FROM best GROUP BY ALL HAVING max(n) >= ceil(max(size) * 0.6 - 1e-9)""",
     "op6_jaccard_join": f"""
-        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
         g AS (SELECT doc_id, w, least(5, len(w)) AS gram FROM d WHERE len(w) > 0),
         s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + gram - 1], ' ') AS h FROM (SELECT *, unnest(range(1, len(w) - gram + 2)) AS p FROM g)),
         z AS (SELECT doc_id, count(*) AS size, md5(string_agg(h, '|' ORDER BY h)) AS f FROM s GROUP BY doc_id),
         l AS (SELECT *, min(doc_id) OVER (PARTITION BY f, size) AS least FROM z),
         r AS (SELECT s.doc_id, h, size FROM s JOIN l USING (doc_id) WHERE least = doc_id),
-        c AS (SELECT a.doc_id, b.doc_id AS other_id, count(*) AS k, any_value(a.size) + any_value(b.size) AS total FROM r a JOIN r b ON a.h = b.h AND a.doc_id > b.doc_id GROUP BY ALL)
-        SELECT doc_id, other_id, k / (total - k) AS jaccard FROM c WHERE k / (total - k) >= 0.45 - 1e-12
-        UNION ALL SELECT doc_id, least, 1.0::DOUBLE FROM l WHERE doc_id <> least""",
+        c AS (SELECT a.doc_id, b.doc_id AS other_id, count(*) AS k, any_value(a.size) + any_value(b.size) AS total FROM r a JOIN r b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+        e AS (SELECT doc_id, other_id FROM c WHERE k / (total - k) >= 0.45 - 1e-12),
+        n AS (SELECT least, count(*) AS members FROM l GROUP BY least),
+        k AS (SELECT e.doc_id AS least, sum(members) AS links FROM e JOIN n ON n.least = e.other_id GROUP BY 1),
+        reach AS (SELECT least AS doc_id, least AS other_id FROM n UNION SELECT reach.doc_id, e.other_id FROM reach JOIN e ON e.doc_id = reach.other_id),
+        t AS (SELECT doc_id AS least, min(other_id) AS class_id FROM reach GROUP BY 1)
+        SELECT doc_id, class_id, (members - 1 + coalesce(links, 0))::BIGINT AS n_links
+        FROM l JOIN n USING (least) JOIN t USING (least) LEFT JOIN k USING (least) WHERE members - 1 + coalesce(links, 0) > 0""",
     "op8_exact_dedup": """
         SELECT doc_id, kept_id FROM (
             SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS kept_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS nth

@@ -225,6 +225,42 @@ def test_short_jaccard_pairs_expand_to_every_pair(spark):
     assert len(short) < len(want) and got == want
 
 
+def brute_classes(rows, n, threshold):
+    """Documents by id and set, as jaccard_classes defines them."""
+    s = [(i, g) for i, g in {(i, grams(t, n)) for i, t in rows if i is not None and t is not None} if g]
+    near = [(a, b) for a in range(len(s)) for b in range(len(s)) if a != b and len(s[a][1] & s[b][1]) / len(s[a][1] | s[b][1]) >= threshold - 1e-12]
+    root = list(range(len(s)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in near:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    least, out = {}, {}
+    for x, (i, _) in enumerate(s):
+        least[find(x)] = min(least.get(find(x), i), i)
+    for a, _ in near:
+        i, c = s[a][0], least[find(a)]
+        out[i] = (min(out.get(i, (c, 0))[0], c), out.get(i, (c, 0))[1] + 1)
+    return {(i, c, k) for i, (c, k) in out.items()}
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_jaccard_classes(spark, docs, empty, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)  # 3: clusters are cut into cells
+    rng = random.Random(31)
+    base = [prose(rng, 70) for _ in range(3)]
+    rows = [(i, edited(rng, rng.choice(base), 0.04)) for i in range(60)] + [(100 + i, base[0]) for i in range(4)] + [(7, prose(rng, 70))]
+    for threshold in (0.45, 0.8):
+        got = {tuple(r) for r in jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), threshold=threshold).collect()}
+        assert got == brute_classes(rows, 5, threshold) and got
+    assert {tuple(r) for r in jaccard.jaccard_classes(docs).collect()} == brute_classes(corpus(), 5, 0.45)
+    assert jaccard.jaccard_classes(empty).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(1, 20)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
