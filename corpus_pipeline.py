@@ -24,7 +24,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, connected by pairs that reach the threshold, the document of least id stays."""
-    return without(docs, jaccard.components(jaccard.jaccard_join(docs)))
+    return without(docs, scratch(jaccard.jaccard_classes(docs).where("doc_id <> class_id").select("doc_id")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
