@@ -36,10 +36,12 @@ _IMPLIED = {
 _TABLE_PARTS = frozenset("tr td th thead tbody tfoot caption".split())
 #: Starts of these, and no others, leave an open head open.
 _IN_HEAD = frozenset("head base basefont bgsound link meta title script style noscript noframes template".split())
-#: Elements nested deeper lose their tags, not their text.
-DEPTH = 200
-#: Wider cells aren't padded, so that one long text doesn't stretch a column.
-CELL = 40
+#: The widest that a column is made. A longer line stands alone, and what is right of it follows on the next line, in its own column.
+COLUMN = 80
+#: Characters of indentation at most; what is nested deeper begins there.
+INDENT = 80
+#: The largest colspan and rowspan that HTML has.
+COLSPAN, ROWSPAN = 1000, 65534
 
 
 class Node:
@@ -77,16 +79,40 @@ def _styled(node: Node) -> bool:
     return True
 
 
+class _Open:
+    """The open elements, and where each tag is among them, so that no look-up walks the stack."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack = [root]
+        self.where: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.where.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, i: int) -> None:
+        """End the elements from place i on."""
+        while len(self.stack) > i:
+            self.where[self.stack.pop().tag].pop()
+
+    def last(self, *tags: str) -> int:
+        """The innermost place of one of the tags, or 0."""
+        return max([places[-1] for t in tags if (places := self.where.get(t))], default=0)
+
+    def first(self, tag: str) -> int:
+        places = self.where.get(tag)
+        return places[0] if places else 0
+
+
 def parse(source: str) -> Node:
-    """The tree of what can be seen: elements that aren't displayed are left out, inline elements without style are dissolved."""
-    root = Node("html")
-    stack = [root]
-    unopened: dict[str, int] = {}  # start tags of a part that isn't displayed that are too deep for the stack
+    """The tree of what can be seen: elements that aren't displayed are left out, inline elements without style are dissolved. Takes time in proportion to the source, however deep it is."""
+    open_ = _Open(Node("html"))
+    stack, where = open_.stack, open_.where
     at, end = 0, len(source)
 
     def text(piece: str) -> None:
         if stack[-1].tag == "head" and piece.strip():
-            stack.pop()
+            open_.cut(len(stack) - 1)
         if piece and not stack[-1].gone:
             stack[-1].children.append(unescape(piece) if "&" in piece else piece)
 
@@ -95,17 +121,11 @@ def parse(source: str) -> Node:
         if not node.gone:
             stack[-1].children.append(node)
         if opens:
-            stack.append(node)
+            open_.push(node)
 
     def close(tags: tuple[str, ...], bounds: tuple[str, ...]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in bounds or stack[i].tag == "template":
-                break
-            if stack[i].tag in tags:
-                del stack[i:]
-                unopened.clear()
-                close(tags, bounds)
-                return
+        while (i := open_.last(*tags)) > open_.last("template", *bounds):
+            open_.cut(i)
 
     for m in _MARKUP.finditer(source):
         if m.start() < at:
@@ -117,34 +137,21 @@ def parse(source: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            if stack[-1].gone and unopened.get(tag):
-                unopened[tag] -= 1
-                continue
             if tag == "br":
                 add(Node("br"), False)
                 continue
-            wanted = _HEADINGS if tag in _HEADINGS else (tag,)
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in wanted:
-                    del stack[i:]
-                    unopened.clear()
-                    break
-                if stack[i].tag in ("table", "object", "template") or stack[i].tag in ("td", "th", "caption") and tag not in _TABLE_PARTS and tag != "table":
-                    break
-            else:
-                if tag == "p":
-                    add(Node("p"), False)
+            i = open_.last(*(_HEADINGS if tag in _HEADINGS else (tag,)))
+            bound = open_.last("table", "object", "template", *(() if tag in _TABLE_PARTS or tag == "table" else ("td", "th", "caption")))
+            if i and i >= bound:
+                open_.cut(i)
+            elif tag == "p" and not i and not bound:
+                add(Node("p"), False)
             continue
         rest = m[3]
-        if rest.endswith("/") and stack[-1].gone and any(x.tag == "svg" for x in stack):
+        if rest.endswith("/") and stack[-1].gone and where.get("svg"):
             continue
-        if tag not in _IN_HEAD:
-            for i in range(1, len(stack)):
-                if stack[i].tag == "template":
-                    break
-                if stack[i].tag == "head":
-                    del stack[i:]
-                    break
+        if tag not in _IN_HEAD and (i := open_.first("head")) and not 0 < open_.first("template") < i:
+            open_.cut(i)
         if tag in ("html", "body"):
             node = Node(tag, attributes(rest)) if rest else None
             if node and not _styled(node):
@@ -162,40 +169,31 @@ def parse(source: str) -> Node:
             at = stop
             continue
         if tag in _ENDS_P:
-            close(("p",), ("td", "th", "caption", "table", "button", "object", "template"))
+            close(("p",), ("td", "th", "caption", "table", "button", "object"))
         if (implied := _IMPLIED.get(tag)) is not None:
             close(*implied)
         if tag in _HIDDEN:
-            if not rest.endswith("/") or tag not in ("svg",):
-                if len(stack) < 2 * DEPTH or not stack[-1].gone:
-                    node = Node(tag)
-                    node.gone = True
-                    add(node, True)
-                else:
-                    unopened[tag] = unopened.get(tag, 0) + 1
+            if not rest.endswith("/") or tag != "svg":
+                node = Node(tag)
+                node.gone = True
+                add(node, True)
             continue
-        if tag in ("td", "th", "tr") and not any(x.tag == "table" for x in stack):
+        if tag in ("td", "th", "tr") and not where.get("table"):
             continue
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
             add(Node("tr"), True)
         if tag in _HEADINGS and stack[-1].tag in _HEADINGS:
-            stack.pop()
-        inline = tag not in _BLOCK and tag not in ("br", "rt", "ruby") and not any(x.tag == tag for x in stack)
+            open_.cut(len(stack) - 1)
+        inline = tag not in _BLOCK and tag not in ("br", "rt", "ruby") and not where.get(tag)
         if inline and not rest:
             continue
         node = Node(tag, attributes(rest) if rest else None)
         if inline and not ("hidden" in node.attrs or "style" in node.attrs):
             continue
         node.gone = not _styled(node)
-        if tag in _VOID:
-            if not node.gone:
-                add(node, False)
-        elif len(stack) < DEPTH or node.gone and not stack[-1].gone or stack[-1].gone and len(stack) < 2 * DEPTH:
-            add(node, True)
-        elif stack[-1].gone:
-            unopened[tag] = unopened.get(tag, 0) + 1
+        add(node, tag not in _VOID)
     text(source[at:])
-    return root
+    return stack[0]
 
 
 def _width(s: str) -> int:
@@ -263,32 +261,48 @@ def _number(value: str | None, default: int, most: int | None = None) -> int:
     return n if most is None else max(1, min(n, most))
 
 
-def _table(node: Node, visible: bool) -> list[str]:
-    """Rows of cells, each column as wide as its widest cell of up to CELL characters; a cell of several lines takes as many."""
-    before: list[str] = []
-    rows: list[tuple[Node, bool]] = []
+#: Rendering is by generators that yield the generators of what is inside them, so that depth costs no Python stack.
+Steps = Iterator["Steps"]
 
-    def gather(part: Node, seen: bool) -> None:
-        for x in part.children:
-            if isinstance(x, Node):
-                own = seen if x.visible is None else x.visible
-                if x.tag == "tr":
-                    rows.append((x, own))
-                elif x.tag in ("thead", "tbody", "tfoot"):
-                    gather(x, own)
-                else:  # captions, and what is between rows, come before the table
-                    page = Page()
-                    _render(x, page, own, False)
-                    before.extend(page.done())
-            elif seen and x.strip():
-                before.append(" ".join(x.split()))
-
-    gather(node, visible)
+
+def _run(steps: Steps) -> None:
+    stack = [steps]
+    while stack:
+        inner = next(stack[-1], None)
+        if inner is None:
+            stack.pop()
+        else:
+            stack.append(inner)
+
+
+def _gather(part: Node, seen: bool, rows: list[tuple[Node, bool]], before: list[str]) -> Steps:
+    for x in part.children:
+        if isinstance(x, Node):
+            own = seen if x.visible is None else x.visible
+            if x.tag == "tr":
+                rows.append((x, own))
+            elif x.tag in ("thead", "tbody", "tfoot"):
+                yield _gather(x, own, rows, before)
+            else:  # captions, and what is between rows, come before the table
+                page = Page()
+                yield _render(x, page, own, False)
+                before.extend(page.done())
+        elif seen and x.strip():
+            before.append(" ".join(x.split()))
+
+
+def _table(node: Node, visible: bool, out: list[str]) -> Steps:
+    """Rows of cells in columns, each as wide as its widest line of up to COLUMN characters; a cell of several lines takes as many."""
+    rows: list[tuple[Node, bool]] = []
+    yield _gather(node, visible, rows, out)
     grid: list[dict[int, list[str]]] = []
-    taken: dict[int, int] = {}  # columns that a cell of an earlier row still fills, and for how many rows
+    widths: dict[int, int] = {}  # of the columns that have text
+    taken: list[tuple[int, int, int]] = []  # columns from and to that a cell of an earlier row still fills, and for how many rows
     for row, seen in rows:
         cells: dict[int, list[str]] = {}
-        column = 0
+        column, k = 0, 0
+        taken.sort()
+        new = []
         for x in row.children:
             if not isinstance(x, Node):
                 if not x.strip() or not seen:
@@ -296,32 +310,39 @@ def _table(node: Node, visible: bool) -> list[str]:
                 x, own = _wrap(x), seen
             else:
                 own = seen if x.visible is None else x.visible
-            while taken.get(column, 0):
-                column += 1
+            while k < len(taken) and taken[k][0] <= column:
+                column = max(column, taken[k][1])
+                k += 1
             page = Page()
-            _inside(x, page, own, False)
-            cells[column] = page.done()
-            for c in range(column, column + (span := _number(x.attrs.get("colspan"), 1, 100))):
-                taken[c] = _number(x.attrs.get("rowspan"), 1, 10_000)
+            yield _inside(x, page, own, False)
+            if lines := page.done():
+                cells[column] = lines
+                widths[column] = max([widths.get(column, 0), *(w for line in lines if (w := _width(line)) <= COLUMN)])
+            span, down = _number(x.attrs.get("colspan"), 1, COLSPAN), _number(x.attrs.get("rowspan"), 1, ROWSPAN)
+            if down > 1:
+                new.append((column, column + span, down - 1))
             column += span
-        taken = {c: n - 1 for c, n in taken.items() if n > 1}
+        taken = [(a, b, n - 1) for a, b, n in taken if n > 1] + new
         grid.append(cells)
-    widths: dict[int, int] = {}
-    for cells in grid:
-        for c, lines in cells.items():
-            widths[c] = max([widths.get(c, 0), *(w for x in lines if (w := _width(x)) <= CELL)])
-    used = sorted(c for c in widths if any(cells.get(c) for cells in grid))
-    out = list(before)
+    starts, at = {}, 0
+    for c in sorted(widths):
+        starts[c] = at
+        at += widths[c] + 2
     for cells in grid:
-        for i in range(max([0, *(len(x) for x in cells.values())])):
-            line = ""
-            for k, c in enumerate(used):
-                cell = cells.get(c, [])
-                piece = cell[i] if i < len(cell) else ""
-                line += piece + " " * max(0, widths[c] - _width(piece)) + "  " * (k + 1 < len(used))
+        for i in range(max((len(x) for x in cells.values()), default=0)):
+            line, width = "", 0
+            for c, cell in sorted(cells.items()):
+                if i >= len(cell) or not cell[i].strip():
+                    continue
+                if width > starts[c]:  # too long a line is before it
+                    out.append(line)
+                    line, width = "", 0
+                piece = " " * (starts[c] - width) + cell[i]
+                line, width = line + piece, starts[c] + _width(cell[i]) + 2
+                line += "  "
             if line.strip():
-                out.append(line.rstrip())
-    return out
+                out.append(line)
+    out[:] = [line.rstrip() for line in out]
 
 
 def _wrap(text: str) -> Node:
@@ -330,7 +351,7 @@ def _wrap(text: str) -> Node:
     return node
 
 
-def _render(node: Node, page: Page, visible: bool, pre: bool) -> None:
+def _render(node: Node, page: Page, visible: bool, pre: bool) -> Steps:
     """One element with the breaks, marker and indentation it brings."""
     tag = node.tag
     if tag == "br":
@@ -342,7 +363,8 @@ def _render(node: Node, page: Page, visible: bool, pre: bool) -> None:
     if around:
         page.breaks(around)
     if tag == "table":
-        lines = _table(node, visible)
+        lines: list[str] = []
+        yield _table(node, visible, lines)
         for line in lines:
             page._begin()
             page.line.append(line)
@@ -350,7 +372,7 @@ def _render(node: Node, page: Page, visible: bool, pre: bool) -> None:
     elif tag in ("ul", "ol", "menu", "dd", "blockquote"):
         step = {"blockquote": "  ", "dd": "  "}.get(tag, "")
         kept = page.indent
-        page.indent += step
+        page.indent = (kept + step)[:INDENT]
         number = _number(node.attrs.get("start"), 1)
         for x in node.children if not step else ():
             if isinstance(x, Node) and x.tag == "li":
@@ -358,38 +380,42 @@ def _render(node: Node, page: Page, visible: bool, pre: bool) -> None:
                 mark = f"{number}. " if tag == "ol" else "- "
                 number += 1
                 page.breaks(1)
-                page.marker, page.indent = (page.marker or kept) + mark, kept + " " * len(mark)
-                _inside(x, page, visible if x.visible is None else x.visible, pre)
+                page.marker, page.indent = (page.marker or kept)[:INDENT] + mark, (kept + " " * len(mark))[:INDENT]
+                yield _inside(x, page, visible if x.visible is None else x.visible, pre)
                 page.breaks(1)
                 page.marker, page.indent = "", kept
             else:
-                _child(x, page, visible, pre)
+                yield from _child(x, page, visible, pre)
         if step:
-            _inside(node, page, visible, pre)
+            yield _inside(node, page, visible, pre)
         page.breaks(1)
         page.indent = kept
     elif tag == "details" and "open" not in node.attrs:
         for x in node.children:
             if isinstance(x, Node) and x.tag == "summary":
-                _render(x, page, visible if x.visible is None else x.visible, pre)
+                yield _render(x, page, visible if x.visible is None else x.visible, pre)
                 break
     else:
-        _inside(node, page, visible, pre or tag in ("pre", "textarea", "xmp"))
+        yield _inside(node, page, visible, pre or tag in ("pre", "textarea", "xmp"))
     if around:
         page.breaks(around)
 
 
-def _child(x: Node | str, page: Page, visible: bool, pre: bool) -> None:
+def _child(x: Node | str, page: Page, visible: bool, pre: bool) -> Steps:
     if isinstance(x, str):
         if visible:
             page.plain(x) if pre else page.text(x)
     else:
-        _render(x, page, visible if x.visible is None else x.visible, pre)
+        yield _render(x, page, visible if x.visible is None else x.visible, pre)
 
 
-def _inside(node: Node, page: Page, visible: bool, pre: bool) -> None:
+def _inside(node: Node, page: Page, visible: bool, pre: bool) -> Steps:
     for x in node.children:
-        _child(x, page, visible, pre)
+        if isinstance(x, str):
+            if visible:
+                page.plain(x) if pre else page.text(x)
+        else:
+            yield _render(x, page, visible if x.visible is None else x.visible, pre)
 
 
 def render(source: str | None) -> str:
@@ -397,14 +423,14 @@ def render(source: str | None) -> str:
 
     Blocks stand on their own lines, paragraphs, headings, lists and tables with
     a blank line around them; list items have a marker or number and are
-    indented by level; table cells are in columns.  White space is collapsed but in pre.
+    indented by level, up to INDENT characters; table cells are in columns.  White space is collapsed but in pre.
     None, and a page without visible text, give the empty text.  Markup of any
     kind gives some text and never an error.
     """
     if not source:
         return ""
     page = Page()
-    _inside(parse(source.replace("\0", "")), page, True, False)
+    _run(_inside(parse(source.replace("\0", "")), page, True, False))
     lines = page.done()
     while lines and not lines[-1].strip():
         lines.pop()

@@ -428,6 +428,89 @@ def test_html_ends_hidden_elements_without_end_tags():
     assert html.render("<div hidden>" + "<div>" * 3000 + "x" + "</div>" * 3000 + "y</div>z") == "z"
 
 
+def test_html_aligns_wide_cells_and_deep_pages():
+    wide = "w" * 45
+    assert html.render(f"<table><tr><td>{wide}<td>1<tr><td>a<td>22</table>") == f"{wide}  1\na{' ' * 46}22"
+    long = "v" * 100  # what is right of it follows in its own column
+    assert html.render(f"<table><tr><td>{long}<td>1<tr><td>abc<td>22</table>") == f"{long}\n     1\nabc  22"
+    assert html.render("<table><tr><td colspan=900>a<td>b<tr><td rowspan=70000>c<td>d<tr><td>e</table>").split() == list("abcde")
+    page = "<table><tr><td>a<td>b<tr><td>cc<td>d</table><p style='visibility:hidden'>x</p><nav hidden><p>n</nav><script>s</script>"
+    for deep in (10, 300, 20_000):
+        assert html.render("<div>" * deep + page) == html.render(page) == "a   b\ncc  d"
+    assert html.render("<ul><li>" * 3000 + "x").split()[-1] == "x" and len(html.render("<blockquote>x" * 3000)) < 300_000
+
+
+@pytest.mark.parametrize("page", ["<div hidden>" + "<b>" * 100_000 + "</i>" * 100_000, "<div hidden>" + "<div>" * 100_000 + "</p>" * 100_000, "<table><tr><td>" + "<div>" * 50_000 + "</table><li></b>" * 50_000, "<p>a</p>" * 100_000, "<table>" + "<tr><td>a<td colspan=1000 rowspan=60000>b" * 300 + "</table>", "<b style='x:y'>" * 50_000 + "</i></p>" * 50_000])
+def test_html_takes_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html.render(page)
+    assert time.process_time() - began < 5
+
+
+def random_tree(rng: random.Random, depth: int, at: str, shown: bool, out: list[str]) -> str:
+    """Source with end tags left out at random where HTML allows it; out gets the words that are shown."""
+
+    def word(shown):
+        w = f"w{rng.randrange(10**9)}"
+        if shown:
+            out.append(w)
+        return w
+
+    def hides(tag, shown):
+        if rng.random() < 0.2:
+            return f"<{tag} {rng.choice(['hidden', 'style=display:none', chr(34).join(['style=', 'color:red; display: none', ''])])}>", False
+        return f"<{tag}>", shown
+
+    parts = []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.choice(["text", "p", "div", "ul", "table", "span", "script", "dl"] if depth else ["text", "p"])
+        if kind == "text":
+            parts.append(word(shown) + " ")
+        elif kind == "p":
+            start, s = hides("p", shown)
+            parts.append(start + word(s) + rng.choice(["</p>", "<p></p>"]))
+        elif kind in ("div", "span"):
+            start, s = hides(kind, shown)
+            parts.append(start + " " + (random_tree(rng, depth - 1, kind, s, out) if kind == "div" else word(s)) + f" </{kind}>")
+        elif kind == "script":
+            parts.append(f"<script>if (a < b) {{ '</p>' }} {word(False)}</script>")
+        elif kind in ("ul", "dl"):
+            start, s = hides(kind, shown)
+            parts.append(start)
+            for _ in range(rng.randint(1, 3)):
+                tag = "li" if kind == "ul" else rng.choice(["dt", "dd"])
+                item, t = hides(tag, s)
+                parts.append(item + random_tree(rng, depth - 1, "li", t, out) + rng.choice(["", f"</{tag}>"]))
+            parts.append(f"</{kind}>")
+        else:
+            start, s = hides("table", shown)
+            parts.append(start)
+            for _ in range(rng.randint(1, 3)):
+                row, t = hides("tr", s)
+                parts.append(row)
+                for _ in range(rng.randint(1, 3)):
+                    cell, u = hides(rng.choice(["td", "th"]), t)
+                    parts.append(cell + word(u) + rng.choice(["", "</td>"]))
+                parts.append(rng.choice(["", "</tr>"]))
+            parts.append("</table>")
+    return "".join(parts)
+
+
+def test_html_shows_what_is_shown_in_random_trees():
+    rng = random.Random(41)
+    for _ in range(1500):
+        out: list[str] = []
+        source = random_tree(rng, 3, "body", True, out)
+        assert re.findall(r"w\d+", html.render(source)) == out, source
+
+
+def test_html_clashing_columns(spark):
+    table = spark.createDataFrame([(1, "<p>a", "x", "y")], "page_id long, html string, text string, doc_id string")
+    assert html.extract(table).collect() == [(1, "a")]
+
+
 def test_html_keeps_every_visible_word(spark, empty):
     from html.parser import HTMLParser
 
