@@ -109,7 +109,7 @@ def test_expectation_maximisation_maximises():
 
 
 def test_sharding(spark, docs, empty):
-    rows = sharding.shard(docs, 4, groups_per_task=10, fan_in=3).collect()
+    rows = sharding.shard(docs, 4, groups_per_task=10).collect()
     assert len(rows) == len(corpus()) and {r.shard for r in rows} <= set(range(4))
     of = {}
     for r in rows:
@@ -119,20 +119,59 @@ def test_sharding(spark, docs, empty):
         assert {s for (i, _), x in of.items() if i == a for s in x} == {s for (i, _), x in of.items() if i == b for s in x}, text[a]
     assert sharding.shard(empty, 3).count() == 0
     assert sharding.shard(docs, 1).select("shard").distinct().count() == 1
+    assert sharding.shard(docs, 500).count() == len(corpus())  # more shards than groups
 
 
-def test_differencing_balances_better_than_greedy():
+def greedy_spread(weights, k):
+    held = np.zeros(k, np.int64)
+    for x in np.sort(weights)[::-1]:
+        held[held.argmin()] += x
+    return np.ptp(held)
+
+
+def brute_difference(weights, k):
+    """Differencing with whole rows of k sums and lists of members."""
+    nodes = [([int(w)] + [0] * (k - 1), [[i]] + [[] for _ in range(k - 1)]) for i, w in enumerate(weights)]
+    while len(nodes) > 1:
+        nodes.sort(key=lambda x: -(x[0][0] - x[0][-1]))
+        (s, a), (t, b) = nodes[:2]
+        parts = sorted(zip([x + y for x, y in zip(s, t[::-1])], [x + y for x, y in zip(a, b[::-1])]), key=lambda x: -x[0])
+        nodes = [*nodes[2:], ([x for x, _ in parts], [y for _, y in parts])]
+    return nodes[0][0]
+
+
+def test_differencing():
     rng = np.random.default_rng(1)
-    w = np.sort(rng.integers(1, 10_000, 300))[::-1]
-    sums = np.zeros((300, 5), np.int64)
-    sums[:, 0] = w
-    total, slot = sharding.difference(sums)
-    held = np.bincount(slot[:, 0], w, 5)
-    assert sorted(held) == sorted(total) and held.sum() == w.sum()
-    greedy = np.zeros(5)
-    for x in w:
-        greedy[greedy.argmin()] += x
-    assert np.ptp(held) <= np.ptp(greedy)
+    for n, k in ((300, 5), (40, 7), (5, 9), (1, 3), (60, 2)):
+        w = np.sort(rng.integers(1, 10_000, n))[::-1]
+        slot, sums = sharding.difference(w, k)
+        assert (np.bincount(slot, w, k) == sums).all()
+        if n > k:
+            assert np.ptp(sums) <= max(np.ptp(brute_difference(w, k)), greedy_spread(w, k))
+    base = np.array([600, 0, 50, 10])
+    slot, sums = sharding.difference(np.full(200, 10), 4, base)
+    assert np.ptp(sums + base) <= 10 and (np.bincount(slot, np.full(200, 10), 4) == sums).all()
+    assert len(sharding.difference(np.zeros(0, np.int64), 4)[0]) == 0
+
+
+@pytest.mark.parametrize("kind", ["lognormal", "heavy", "nearly", "equal"])
+def test_shards_of_many_tasks_are_as_even_as_greedy_ones(spark, kind):
+    rng = np.random.default_rng(8)
+    sizes = np.maximum(1, rng.lognormal(4, 1.2, 6000).astype(int)) if kind != "equal" else np.full(6000, 50)
+    k = 16
+    if kind == "heavy":  # more than several shards hold
+        sizes[0] = sizes.sum() // 3
+    if kind == "nearly":  # one more than there are shards, each of them most of one
+        sizes[: k + 1] = int(sizes.sum() / k * 0.9)
+    text = lambda i, n: f"{i:x}"[:n] + "x" * (n - len(f"{i:x}"[:n]))
+    rows = spark.createDataFrame([(i, text(i, int(n))) for i, n in enumerate(sizes)], "doc_id long, text string")
+    weights = np.array([r[0] for r in rows.selectExpr("length(text) as n", "text").groupBy("text").agg({"n": "sum"}).select("sum(n)").collect()])
+    held = np.zeros(k, np.int64)
+    for s, n in sharding.shard(rows, k, groups_per_task=500).groupBy("shard").agg({"n_bytes": "sum"}).collect():
+        held[s] = n
+    assert held.sum() == weights.sum()
+    print(kind, np.ptp(held), greedy_spread(weights, k))
+    assert np.ptp(held) <= greedy_spread(weights, k)
 
 
 def test_decontamination(spark, docs, empty):
