@@ -354,7 +354,25 @@ def test_content_table_tells_equal_hashes_apart():
     table = exact.ContentTable()
     for i in range(3000):
         table.add(7, i, f"text {i % 1500}")
-    assert sorted(table.copies()) == [(i, i - 1500) for i in range(1500, 3000)]
+    assert sorted((int(x), int(ids[0])) for _, _, _, ids in table.copies() for x in ids[1:]) == [(i, i - 1500) for i in range(1500, 3000)]
+
+
+def test_one_frequent_text_is_not_split(tmp_path):
+    rows = [(5, i, "t" * 1000, False) for i in range(1000)]
+    batches = lambda rows: (pa.RecordBatch.from_pylist([dict(zip(exact._SCHEMA.names, r)) for r in rows[i : i + 100]], exact._SCHEMA) for i in range(0, len(rows), 100))
+    grace = exact.Grace(f"file://{tmp_path}/a", 10_000, 16)
+    (_, _, _, ids), = grace.copies(batches(rows))
+    assert grace.spills == 0 and ids.tolist() == list(range(1000))
+    others = [(1000 + i, 5000 + i, "u" * 50, False) for i in range(200)] * 2
+    grace = exact.Grace(f"file://{tmp_path}/b", 30_000, 16)
+    got = {ids[0]: len(ids) for _, _, _, ids in grace.copies(batches(rows + others))}
+    assert grace.spills <= 2 and got == {0: 1000} | {5000 + i: 2 for i in range(200)}
+
+
+def test_salted_copies(spark):
+    rows = [(i, "frequent text") for i in range(3000)] + [(5, "frequent text"), (9, "frequent text"), (0, "frequent text")] + [(4000 + i, f"text {i % 50}") for i in range(100)]
+    got = sorted(map(tuple, exact.exact_copies(spark.createDataFrame(rows, "doc_id long, text string"), memory_bytes=20_000).collect()))
+    assert got == sorted([(i, 0) for i in range(1, 3000)] + [(5, 0), (9, 0), (0, 0)] + [(4050 + i, 4000 + i) for i in range(50)])
 
 
 def test_compact_windows_are_the_runs_with_one_minimum():
