@@ -176,7 +176,8 @@ def test_shards_of_many_tasks_are_as_even_as_greedy_ones(spark, kind):
 
 def test_decontamination(spark, docs, empty):
     rng = random.Random(9)
-    items = [(1, corpus()[12][1]), (2, " ".join(split(corpus()[13][1])[:40])), (3, prose(rng, 50)), (4, None), (5, ""), (6, "one two"), (None, "x y z"), (7, edited(rng, corpus()[14][1], 0.03))]
+    again = [(1, corpus()[15][1]), (8, prose(rng, 30)), (8, corpus()[16][1]), (8, "w1x w2x w3x w4x w5x w6x")]  # one id, several texts
+    items = [(1, corpus()[12][1]), (2, " ".join(split(corpus()[13][1])[:40])), (3, prose(rng, 50)), (4, None), (5, ""), (6, "one two"), (None, "x y z"), (7, edited(rng, corpus()[14][1], 0.03)), *again]
     table = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
 
     def brute(n=5, threshold=0.6):
@@ -199,12 +200,22 @@ def test_decontamination(spark, docs, empty):
 
     got = {(r.doc_id, r.item_id): round(r.containment, 9) for r in decontamination.contaminated(docs, table).collect()}
     want = brute()
-    assert got == want and (12, 1) in got and (13, 2) in got
+    assert got == want and (12, 1) in got and (13, 2) in got and (15, 1) in got and (16, 8) in got
     by_shuffle = {(r.doc_id, r.item_id): round(r.containment, 9) for r in decontamination.contaminated(docs, table, lookup_keys=0).collect()}
     assert by_shuffle == want
     assert decontamination.contaminated(empty, table).count() == 0 and decontamination.contaminated(docs, table.limit(0)).count() == 0
 
 
+def test_bounds_leave_out_pairs_before_verification(spark):
+    item = spark.createDataFrame([(1, 1, 20, 5, 7, 12)], "item_id long, item long, span long, gram long, h long, need long")
+    hit = lambda *rows: spark.createDataFrame([(i, 0, pos, total, 5, 7) for i, (pos, total) in enumerate(rows)], "doc_id long, row long, pos long, total long, gram long, h long")
+    # too short a text; no room at the start; room enough at the start, at the end, within
+    pairs = decontamination._pairs(hit((3, 11), (0, 11), (0, 12), (0, 500), (499, 500), (250, 500)), item).collect()
+    assert {r.doc_id: (r.low, r.high) for r in pairs} == {2: (-20, 20), 3: (-20, 20), 4: (479, 519), 5: (230, 270)}
+    narrow = item.withColumn("span", item.span * 0 + 5)
+    assert [r.doc_id for r in decontamination._pairs(hit((0, 500), (250, 500)), narrow).collect()] == []
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(4)
     bad = ["vile", "scum", "filth"]
