@@ -438,6 +438,35 @@ def test_passages_beside_shorter_fragments_of_them(spark):
     assert got == set(want)
 
 
+@pytest.mark.parametrize("group", [256, 8])
+def test_passages_of_a_frequent_signature(spark, monkeypatch, group):
+    """Many documents share a line that is shorter than a passage; some of them share a passage around it, equal or edited, and many copies of one passage are linked as well."""
+    monkeypatch.setattr(passages, "GROUP", group)
+    rng = random.Random(51)
+    q = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    line, rows, pairs = q(14), [], []
+    for i in range(300):
+        rows.append((i, " ".join([*q(50), *line, *q(50)])))
+    for k in range(20):
+        left, right = q(22), q(22)
+        part = [*left, *line, *right]
+        rows.append((1000 + 2 * k, " ".join([*q(40), *part, *q(40)])))
+        if k % 2:
+            for j in rng.sample(range(len(part)), 8):
+                part[j] = q(1)[0]
+        rows.append((1001 + 2 * k, " ".join([*q(40), *part, *q(40)])))
+        pairs.append((1001 + 2 * k, 1000 + 2 * k))
+    many = q(60)
+    rows += [(2000 + i, " ".join([*q(30), *many, *q(30)])) for i in range(100)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(r.doc_id, r.other_id) for r in got}
+    assert {p for p in pairs if (p[0] - 1001) // 2 % 2 == 0} <= found
+    assert sum(p in found for p in pairs) >= 0.9 * len(pairs)
+    assert {x for p in found for x in p if x >= 2000} == set(range(2000, 2100))
+    assert not {x for p in found for x in p if x < 300}
+    assert len([p for p in found if p[0] >= 2000]) < 2000
+
+
 def test_passages_at_the_threshold(spark):
     rng = random.Random(22)
     rows = []
