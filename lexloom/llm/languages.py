@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -15,39 +16,44 @@ from lexloom.llm.common import by_size
 from lexloom.llm.words import raw, slices
 
 GRAM_BITS = 16
+#: Bytes of text whose trigrams are held at once.
+CHUNK = 1 << 20
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = False
 
 
-def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Trigram codes at every byte of every word and of its end; for each word, where its codes begin; and words' bounds by text.
+def grams(column: pa.Array, chunk: int = CHUNK) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """Words' bounds by text; and by parts of chunk bytes, so that no text is too long, trigram codes and the words that they belong to.
 
     A word is a run of letters (bytes a-z and from 0x80 after lower-casing); it is
-    read as if a space stood before and after it.
+    read as if a space stood before and after it, and has a code at every byte and at its end.
     """
     offsets, data = raw(pc.utf8_lower(column))
     n = len(data)
-    text = np.zeros(n + 2, np.uint8)
-    text[1 : n + 1] = np.where(_SEPARATOR[data], 0, data)
-    letter = text[1 : n + 1] != 0
+    text = np.zeros(n + 2, np.uint8)  # two zeros before
+    text[2:] = np.where(_SEPARATOR[data], 0, data)
+    letter = text[2:] != 0
     begins = np.zeros(n + 1, bool)
     begins[offsets] = True
-    first = letter & (begins[:n] | (text[:n] == 0))
-    ends = np.flatnonzero(letter & (begins[1:] | (text[2:] == 0))) + 1
+    first = letter & (begins[:n] | (text[1 : n + 1] == 0))
+    last = letter.copy()
+    last[:-1] &= begins[1:n] | ~letter[1:]
     starts = np.flatnonzero(first)
-    lengths = ends - starts
-    at = np.concatenate([[0], np.cumsum(lengths + 1)])  # a word of k bytes has k + 1 codes
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    word = np.repeat(np.arange(len(starts)), lengths + 1)
-    i = np.arange(at[-1]) - at[word]
-    position = starts[word] + i
-    zero = np.int64(0)
-    here = np.where(i < lengths[word], text[np.minimum(position + 1, n + 1)], zero).astype(np.int64)
-    back1 = np.where(i >= 1, text[position], zero).astype(np.int64)
-    back2 = np.where(i >= 2, text[np.maximum(position - 1, 0)], zero).astype(np.int64)
-    code = ((back2 << 16) | (back1 << 8) | here) * 0x9E3779B1 & 0xFFFFFFFF
-    return code >> (32 - GRAM_BITS), at[:-1], np.searchsorted(starts, offsets)
+
+    def codes() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for low in range(0, n, chunk):
+            high = min(n, low + chunk)
+            at = np.flatnonzero(letter[low:high]) + low
+            word = np.searchsorted(starts, at, "right") - 1
+            begun = at - starts[word]
+            here = text[at + 2].astype(np.int64)
+            back1 = np.where(begun >= 1, text[at + 1], 0).astype(np.int64)
+            back2 = np.where(begun >= 2, text[at], 0).astype(np.int64)
+            ends = last[at]
+            code = np.concatenate([back2 << 16 | back1 << 8 | here, back1[ends] << 16 | here[ends] << 8])
+            yield (code * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - GRAM_BITS), np.concatenate([word, word[ends]])
+
+    return np.searchsorted(starts, offsets), codes()
 
 
 @dataclass
@@ -68,7 +74,8 @@ def train(docs: DataFrame, max_docs: int = 1000, smoothing: float = 0.5, text_co
         total = np.zeros(1 << GRAM_BITS, np.int64)
         for whole in table.select(["text"]).to_batches():
             for batch in slices(whole, 0):
-                total += np.bincount(grams(batch.column(0))[0], minlength=1 << GRAM_BITS)
+                for codes, _ in grams(batch.column(0))[1]:
+                    total += np.bincount(codes, minlength=1 << GRAM_BITS)
         return pa.table({"lang": pa.array([key[0].as_py()]), "counts": pa.array([total.tobytes()], pa.binary())})
 
     found = rows.join(by_size(drawn), ["doc_id", "lang"], "left_semi").groupBy("lang").applyInArrow(count, "lang string, counts binary").collect()
@@ -81,12 +88,17 @@ def train(docs: DataFrame, max_docs: int = 1000, smoothing: float = 0.5, text_co
 
 def word_likelihoods(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every word its likelihood in each language divided by the largest, the log of that, and words' bounds by text."""
-    codes, at, bounds = grams(column)
-    logs = np.empty((len(at), len(model.names)), np.float64)
-    for i in range(len(model.names)):
-        logs[:, i] = np.add.reduceat(model.log_p[:, i][codes], at) if len(at) else 0
-    top = logs.max(axis=1) if logs.size else np.zeros(len(at))
-    return np.exp(logs - top[:, None]), top, bounds
+    bounds, parts = grams(column)
+    logs = np.zeros((bounds[-1], len(model.names)))
+    for codes, word in parts:
+        if not len(word):
+            continue
+        low, high = int(word.min()), int(word.max()) + 1
+        for i in range(len(model.names)):
+            logs[low:high, i] += np.bincount(word - low, model.log_p[:, i][codes], high - low)
+    top = logs.max(axis=1) if logs.size else np.zeros(len(logs))
+    logs -= top[:, None]
+    return np.exp(logs, out=logs), top, bounds
 
 
 def expectation_maximisation(like: np.ndarray, bounds: np.ndarray, allowed: np.ndarray, tolerance: float = 1e-4, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
@@ -114,13 +126,13 @@ def expectation_maximisation(like: np.ndarray, bounds: np.ndarray, allowed: np.n
     return shares, log_like
 
 
-def infer(like: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarray:
+def infer(like: np.ndarray, bounds: np.ndarray, penalty: float, width: int = 6) -> np.ndarray:
     """Shares by text (0 for languages left out). Texts must have words.
 
-    All languages are fitted first; sets of the 1, 2, ... languages of largest
-    share are fitted again, and the set with the least
-    penalty * (size - 1) * log(words) - 2 * log-likelihood is taken, the smaller one of equals.  A
-    larger set isn't fitted where the likelihood of all languages shows that it can't win.
+    All languages are fitted first; then every set of the width languages of
+    largest share, and the set with the least
+    penalty * (size - 1) * log(words) - 2 * log-likelihood is taken, the smaller one of equals.  Sets of a
+    size aren't fitted where the likelihood of all languages shows that none can win.
     """
     sizes = np.diff(bounds)
     n, k = len(sizes), like.shape[1]
@@ -129,20 +141,21 @@ def infer(like: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarray:
     best = np.zeros((n, k))
     best[np.arange(n), single.argmax(axis=1)] = 1
     cost = -2 * single.max(axis=1)
-    order = np.argsort(-full, axis=1, kind="stable")
+    order = np.lexsort((-single, -np.round(full, 9)), axis=1)[:, :width]
     unit = penalty * np.log(np.maximum(sizes, 2))
-    for m in range(2, k + 1):
-        open_ = np.flatnonzero(unit * (m - 1) - 2 * top < cost)
-        if not len(open_):
-            break
-        allowed = np.zeros((len(open_), k))
-        np.put_along_axis(allowed, order[open_, :m], 1, 1)
-        keep = np.zeros(n, bool)
-        keep[open_] = True
-        shares, log_like = expectation_maximisation(like[np.repeat(keep, sizes)], np.concatenate([[0], np.cumsum(sizes[open_])]), allowed)
-        value = unit[open_] * (m - 1) - 2 * log_like
-        better = value < cost[open_] - 1e-9
-        best[open_[better]], cost[open_[better]] = shares[better], value[better]
+    for m in range(2, order.shape[1] + 1):
+        for chosen in combinations(range(order.shape[1]), m):
+            open_ = np.flatnonzero(unit * (m - 1) - 2 * top < cost)
+            if not len(open_):
+                break
+            allowed = np.zeros((len(open_), k))
+            np.put_along_axis(allowed, order[open_][:, chosen], 1, 1)
+            keep = np.zeros(n, bool)
+            keep[open_] = True
+            shares, log_like = expectation_maximisation(like[np.repeat(keep, sizes)], np.concatenate([[0], np.cumsum(sizes[open_])]), allowed)
+            value = unit[open_] * (m - 1) - 2 * log_like
+            better = value < cost[open_] - 1e-9
+            best[open_[better]], cost[open_[better]] = shares[better], value[better]
     return best
 
 
@@ -151,6 +164,8 @@ def mixtures(docs: DataFrame, model: Model, penalty: float = 2.0, id_col: str =
 
     languages are in falling order of their share of the words, equal ones by
     name; shares have 4 decimals.  A null or empty text, or one without letters, has none.
+    A long text is read in chunks of bytes, whose words' sums are carried over; only the
+    likelihoods of its words are held whole.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

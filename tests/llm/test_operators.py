@@ -71,14 +71,82 @@ def test_token_counts(spark, docs, empty):
     assert tokens.count_tokens(empty).count() == 0
 
 
-@pytest.mark.parametrize("name,kind", [("word_bpe_49k.json", "tokenizers"), ("byte_bpe_50k.json", "tokenizers"), ("piece_bpe_32k.model", "sentencepiece")])
+KINDS = [("byte_bpe_50k.tiktoken", "tiktoken"), ("byte_bpe_multi_50k.tiktoken", "tiktoken"), ("word_bpe_49k.json", "tokenizers"), ("byte_bpe_50k.json", "tokenizers"), ("piece_bpe_32k.model", "sentencepiece")]
+
+
+def texts_to_cut():
+    rng = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    yield prose(rng, 3000)
+    yield "".join(rng.choice(letters) for _ in range(20_000))
+    yield "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(20_000))
+    yield "\n".join(prose(rng, 2).replace(" ", "\t") for _ in range(3000))
+    yield "".join(rng.choice(["it's", " we'll", "'s", "--", "'", "e\u0301", " ", "\n\n", "  ", "x1", "ΣΑΣ'", "日本", "!?", "٣", "é"]) for _ in range(8000))
+
+
+@pytest.mark.parametrize("name,kind", KINDS)
 def test_pieces_add_up(name, kind):
-    encode = tokens.encoder(f"/opt/tokenizers/{name}", kind)
-    text = prose(random.Random(1), 3000)
+    path = f"/opt/tokenizers/{name}"
+    encode = tokens.encoder(path, kind)
     prefix = kind == "sentencepiece"
-    parts = tokens.pieces(text, 700, prefix)
-    assert len(parts) > 10 and sum(encode(parts)) == encode([text])[0]
-    assert " ".join(parts) == text if prefix else "".join(parts) == text
+    cut = 0
+    for text in texts_to_cut():
+        parts = tokens.pieces(text, 700, prefix, tokens.seams(path) if kind == "tiktoken" else None)
+        cut += len(parts) > 10
+        assert sum(encode(parts)) == encode([text])[0]
+        assert " ".join(parts) == text if prefix else "".join(parts) == text
+    assert cut >= (5 if kind == "tiktoken" else 1 if prefix else 4)
+
+
+def test_long_texts_without_spaces():
+    rng = random.Random(3)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(200_000)) * 5
+    parts = tokens.pieces(text, 1 << 16, False, tokens.seams(tokens.VOCABULARY))
+    assert max(map(len, parts)) < 70_000 and "".join(parts) == text
+
+
+def test_language_chunks_carry_sums():
+    rng = np.random.default_rng(4)
+    model = languages.Model(["a", "b"], rng.random((1 << languages.GRAM_BITS, 2)).astype(np.float32))
+    column = pa.array(["Ab cd, é日本語" * 50, "", None, "x" * 400, "one two"])
+    want = languages.word_likelihoods(model, column)
+    for chunk in (1, 7, 64):
+        bounds, parts = languages.grams(column, chunk)
+        logs = np.zeros((bounds[-1], 2))
+        for codes, word in parts:
+            np.add.at(logs, word, model.log_p[codes])
+        assert np.allclose(logs.max(axis=1), want[1]) and (bounds == want[2]).all()
+    spaced = [0, *b"cd", 0]  # codes of one word, byte by byte
+    codes = [((x << 16 | y << 8 | z) * 0x9E3779B1 & 0xFFFFFFFF) >> 16 for x, y, z in ((0, 0, spaced[1]), (0, spaced[1], spaced[2]), (spaced[1], spaced[2], 0))]
+    got = [c for part in languages.grams(pa.array(["cd"]))[1] for c in part[0].tolist()]
+    assert sorted(got) == sorted(codes)
+
+
+def test_language_sets_are_the_best_of_all():
+    from itertools import combinations
+
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        n = int(rng.integers(5, 80))
+        like = rng.random((n, 4)) ** 3 + 1e-3
+        like /= like.max(axis=1, keepdims=True)
+        bounds = np.array([0, n])
+        got = languages.infer(like, bounds, 2.0)[0]
+
+        def cost(chosen):
+            allowed = np.zeros((1, 4))
+            allowed[0, list(chosen)] = 1
+            return 2.0 * np.log(n) * (len(chosen) - 1) - 2 * languages.expectation_maximisation(like, bounds, allowed)[1][0]
+
+        every = {s: cost(s) for m in range(1, 5) for s in combinations(range(4), m)}
+        assert every[tuple(np.flatnonzero(got))] <= min(every.values()) + 0.05
+
+
+def test_long_text_of_languages(spark):
+    text = ("the there with " * 300_000)[: 4 << 20]
+    model = languages.train(spark.createDataFrame([(1, "the there with", "en"), (2, "der nicht und", "de")], "doc_id long, text string, lang string"))
+    table = spark.createDataFrame([(1, text, 0, 0)], "doc_id long, text string, n_words int, shares int")
+    assert [(r.n_words, r.languages) for r in languages.mixtures(table, model).collect()] == [(len(text.split()), ["en"])]
 
 
 def test_languages(spark, empty):
