@@ -1,20 +1,14 @@
-"""Quality metrics of a text as Column expressions; all stay in the JVM. A null text counts as an empty one."""
+"""Texts as Column expressions in the JVM: trimming, residual markup and URLs. A null text counts as an empty one. What needs words, sentences or classes of characters is in metrics."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The 25 code points of Unicode white space.
 WS = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-_CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー"
-_RUN = rf"[\p{{L}}\p{{M}}\p{{N}}_&&[^{_CJK}]]+"
-#: Words by the rules of UAX 29 as far as a regular expression goes: Han and Hiragana by character, Katakana by run.
-WORD = rf"[\p{{IsHan}}\p{{IsHiragana}}]\p{{M}}*|[\p{{IsKatakana}}ー]+|{_RUN}(?:['’.:·,;]{_RUN})*"
-SENTENCE_END = r"(?<=[。！？])|(?<=[.?!][\"'”’)\]]?)\s+(?=[^\p{Ll}])|\r?\n"
 TAG, URL = "</?[a-zA-Z][^>]*>", f"https?://[^{WS}]+"
+LANGUAGES = ("ja", "en")
 CHAR_CLASSES = {"hiragana": "぀-ゟ", "katakana": "゠-ヿ", "kanji": "一-鿿", "alnum": "0-9A-Za-z"}
 
 
@@ -22,52 +16,11 @@ def _text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def _share(part: Column, whole: Column) -> Column:
-    return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
-
-
 def trimmed(text: Column) -> Column:
     """Without white space at both ends, by Unicode."""
     return F.btrim(_text(text), F.lit(WS))
 
 
-def char_ratios(text: Column) -> dict[str, Column]:
-    """Shares of characters by class; other is the rest, white space included. An empty text has 0 of each."""
-    text, n = _text(text), F.length(_text(text))
-    parts = {k: F.length(F.regexp_replace(text, f"[^{c}]+", "")) for k, c in CHAR_CLASSES.items()}
-    parts["other"] = F.length(F.regexp_replace(text, f"[{''.join(CHAR_CLASSES.values())}]+", ""))
-    return {k: _share(v, n) for k, v in parts.items()}
-
-
-def lines(text: Column) -> Column:
-    """Lines that aren't blank."""
-    return F.filter(F.split(_text(text), "\r?\n"), lambda x: F.length(F.btrim(x, F.lit(WS))) > 0)
-
-
-def duplicate_line_ratio(lines: Column) -> Column:
-    """Lines that repeat an earlier one, as a share of all lines."""
-    return _share(F.size(lines) - F.size(F.array_distinct(lines)), F.size(lines))
-
-
-def symbol_digit_ratio(text: Column) -> Column:
-    """ASCII digits and punctuation as a share of the characters that aren't white space."""
-    text = _text(text)
-    return _share(F.length(F.regexp_replace(text, r"[^!-/0-9:-@\[-`{-~]+", "")), F.length(F.regexp_replace(text, f"[{WS}]+", "")))
-
-
-def sentence_lengths(text: Column) -> Column:
-    parts = F.transform(F.split(_text(text), SENTENCE_END), lambda x: F.length(F.btrim(x, F.lit(WS))))
-    return F.filter(parts, lambda n: n > 0)
-
-
-def sentence_stats(lengths: Column) -> tuple[Column, Column]:
-    """Mean and population variance of sentence lengths; 0 and 0 without sentences."""
-    start = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
-    sums = F.aggregate(lengths, start, lambda s, x: F.struct((s["a"] + x).alias("a"), (s["b"] + x.cast("long") * x).alias("b")), lambda s: F.struct(s["a"], s["b"]))
-    n = F.size(lengths).cast("long")
-    return _share(sums["a"], n), _share(n * sums["b"] - sums["a"] * sums["a"], n * n)
-
-
 def has_residual_html(text: Column) -> Column:
     return _text(text).rlike(TAG)
 
@@ -79,62 +32,3 @@ def has_residual_url(text: Column) -> Column:
 def residual_samples(text: Column, pattern: str, most: int = 5) -> Column:
     """The first matches of TAG or URL, in order."""
     return F.slice(F.regexp_extract_all(_text(text), F.lit(pattern), F.lit(0)), 1, most)
-
-
-def words(text: Column) -> Column:
-    """Lower-case words that hold a letter or digit."""
-    return F.filter(F.transform(F.regexp_extract_all(_text(text), F.lit(WORD), F.lit(0)), F.lower), lambda w: w.rlike(r"[\p{L}\p{N}]"))
-
-
-def ad_patterns(keywords: Iterable[str] = (), patterns: Iterable[str] = ()) -> list[str]:
-    return ["(?iuU)" + "\\Q" + k.replace("\\E", "\\E\\\\E\\Q") + "\\E" for k in keywords] + ["(?iuU)" + p for p in patterns]
-
-
-def ad_keyword_ratio(text: Column, tokens: Column, patterns: list[str]) -> Column:
-    """Matches of all patterns for each word, 1 at most; patterns are those of ad_patterns."""
-    if not patterns:
-        return F.lit(0.0)
-    hits = sum((F.regexp_count(_text(text), F.lit(p)) for p in patterns), F.lit(0))
-    return F.least(F.lit(1.0), _share(hits, F.size(tokens)))
-
-
-def seo_spam_score(tokens: Column) -> Column:
-    """The share of the most frequent word; 0 for fewer than four words."""
-    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-
-    def step(a: Column, w: Column) -> Column:
-        run = F.when(a["w"] == w, a["run"] + 1).otherwise(F.lit(1))
-        return F.struct(w.alias("w"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
-
-    most = F.aggregate(F.array_sort(tokens), start, step, lambda a: a["best"])
-    return F.when(F.size(tokens) < 4, F.lit(0.0)).otherwise(_share(most, F.size(tokens)))
-
-
-def naturalness_score(tokens: Column, seo: Column) -> Column:
-    """1 less what long words, words of one repeated character and repetition take off; 0 without words."""
-    n = F.size(tokens)
-    mean = _share(F.aggregate(tokens, F.lit(0).cast("long"), lambda a, w: a + F.length(w)), n)
-    long_words = F.when(mean > 12, F.least(F.lit(1.0), (mean - 12) / 12)).otherwise(F.lit(0.0))
-    same = _share(F.size(F.filter(tokens, lambda w: w.rlike(r"^(.)\1{2,}$"))), n)
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - long_words - same - 0.5 * seo)))
-
-
-LANGUAGES = ("ja", "en")
-_JA, _EN = _CJK, r"\p{IsLatin}"
-
-
-def detected_language(text: Column, allow: Iterable[str] = ()) -> Column:
-    """ja or en by the script that most letters are of, null without letters of an allowed one. Stands in for an n-gram detector."""
-    codes = [c.lower() for c in allow] or list(LANGUAGES)
-    if bad := [c for c in codes if c not in LANGUAGES]:
-        raise ValueError(f"unsupported language: {', '.join(bad)}")
-    count = {c: F.length(F.regexp_replace(_text(text), f"[^{p}]+", "")) if c in codes else F.lit(0) for c, p in (("ja", _JA), ("en", _EN))}
-    return F.when((count["ja"] == 0) & (count["en"] == 0), F.lit(None).cast("string")).when(count["ja"] >= count["en"], "ja").otherwise("en")
-
-
-def language_mixed_ratio(text: Column, language: Column) -> Column:
-    """The share of characters in runs of the other language's script."""
-    text = _text(text)
-    size = lambda p: F.aggregate(F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.lit(0), lambda a, x: a + F.length(x))
-    other = F.when(language == "ja", size(f"[{_EN}][^{_JA}]*")).when(language == "en", size(f"[{_JA}][^{_EN}]*")).otherwise(F.lit(0))
-    return _share(other, F.length(text))

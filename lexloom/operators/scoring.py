@@ -6,30 +6,32 @@ from collections.abc import Iterable, Mapping
 from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.functions import metrics
 from lexloom.functions import text as fn
 
-NUMERIC = ("language_mixed_ratio", *(f"char_{c}" for c in (*fn.CHAR_CLASSES, "other")), "duplicate_line_ratio", "symbol_digit_ratio", "avg_sentence_length", "sentence_length_variance", "ad_keyword_ratio", "seo_spam_score", "naturalness_score")
+NUMERIC = metrics.NUMBERS
 FLAGS = ("has_residual_html", "has_residual_url")
 FIELDS = (*NUMERIC, *FLAGS, "detected_language")
 
 
 def score(df: DataFrame, text_col: str = "text", allow: Iterable[str] = (), ad_keywords: Iterable[str] = (), ad_patterns: Iterable[str] = ()) -> DataFrame:
-    """df with a column for each of FIELDS, of the trimmed text. Words and sentences are cut once."""
-    patterns = fn.ad_patterns(ad_keywords, ad_patterns)
-    text = fn.trimmed(F.col(text_col))
-    t, w = F.col("__t"), F.col("__w")
-    first = df.withColumn("__t", text).withColumns({"__w": fn.words(t), "__s": fn.sentence_lengths(t), "__l": fn.lines(t), "detected_language": fn.detected_language(t, allow)})
-    mean, variance = fn.sentence_stats(F.col("__s"))
-    columns = {f"char_{k}": v for k, v in fn.char_ratios(t).items()} | {
-        "language_mixed_ratio": fn.language_mixed_ratio(t, F.col("detected_language")), "duplicate_line_ratio": fn.duplicate_line_ratio(F.col("__l")), "symbol_digit_ratio": fn.symbol_digit_ratio(t),
-        "avg_sentence_length": mean, "sentence_length_variance": variance, "has_residual_html": fn.has_residual_html(t), "has_residual_url": fn.has_residual_url(t),
-        "ad_keyword_ratio": fn.ad_keyword_ratio(t, w, patterns), "seo_spam_score": fn.seo_spam_score(w),
-    }
-    done = first.withColumns(columns)
-    return done.withColumn("naturalness_score", fn.naturalness_score(w, F.col("seo_spam_score"))).drop("__t", "__w", "__s", "__l")
+    """df with a column for each of FIELDS, of the trimmed text; columns of these names are replaced. A null or empty text has 0 everywhere and no language. One Arrow function makes all of them in one pass over the text."""
+    allow, ad_keywords, ad_patterns = tuple(allow), tuple(ad_keywords), tuple(ad_patterns)
+    if bad := [c for c in allow if c.lower() not in fn.LANGUAGES]:
+        raise ValueError(f"unsupported language: {', '.join(bad)}")
+    metrics.compile_patterns(ad_keywords, ad_patterns)
+
+    @F.arrow_udf(metrics.SCHEMA)
+    def run(text: pa.Array) -> pa.Array:
+        return metrics.scores(text, allow, metrics.compile_patterns(ad_keywords, ad_patterns))
+
+    free = "__scores" + "_" * max(map(len, df.columns))  # longer than any name there is
+    found = df.withColumn(free, run(fn.trimmed(F.col(f"`{text_col}`"))))
+    return found.withColumns({x: F.col(f"{free}.{x}") for x in FIELDS}).drop(free)
 
 
 _COMPARE = {"lt": lambda a, b: a < b, "lte": lambda a, b: a <= b, "gt": lambda a, b: a > b, "gte": lambda a, b: a >= b, "eq": lambda a, b: a == b, "ne": lambda a, b: a != b}

@@ -5,10 +5,10 @@ from __future__ import annotations
 import copy
 import hashlib
 import json
-import re
 import tomllib
 from typing import Any
 
+from lexloom.functions import metrics
 from lexloom.functions.text import LANGUAGES
 from lexloom.operators import dedup, plugins, scoring
 
@@ -43,11 +43,7 @@ def validate(config: dict) -> dict:
         raise ValueError(f"unsupported language: {', '.join(bad)}")
     if config["scoring"]["text_quality"]["perplexity_enabled"]:
         raise ValueError("perplexity is unsupported: there is no language model")
-    for p in config["scoring"]["content_quality"]["ad_patterns"]:
-        try:
-            re.compile(p)
-        except re.error as e:
-            raise ValueError(f"bad ad pattern {p!r}: {e}") from e
+    metrics.compile_patterns((), config["scoring"]["content_quality"]["ad_patterns"])
     for r in config["filters"]["rules"]:
         scoring.validate_rule(r["name"], r["when"])
     d = config["dedup"]

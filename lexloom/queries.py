@@ -11,6 +11,7 @@ from lexloom.functions import text as fn
 from lexloom.operators import dedup, html, plugins, scoring
 from lexloom.plans import cleaning
 from lexloom.plans.config import load
+from lexloom.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,6 +25,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Some columns of a table, spread over the cores where it has fewer parts than there are cores."""
+    df = _table(spark, sf_dir, name).select(*columns)
+    return files.spread(df)
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -36,8 +43,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 _WS = "".join(rf"\x{{{ord(c):X}}}" for c in fn.WS)
 _TRIM = f"regexp_replace(text, '^[{_WS}]+|[{_WS}]+$', '', 'g')"
-_N = r"[\p{L}\p{M}\p{N}_]+"
-_W = rf"list_filter(list_transform(regexp_extract_all(t, '{_N}(?:[''’.:·,;]{_N})*'), lambda x: lower(x)), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]'))"
+_L, _D = r"(?:\p{L}\p{M}*)+", r"(?:\p{N}\p{M}*)+"
+_W = rf"list_filter(list_transform(regexp_extract_all(t, '(?:{_L}(?:[''’.:·]{_L})*|{_D}(?:[''’.,;]{_D})*|_+)+'), lambda x: lower(x)), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]'))"
 _RATIO = "CASE WHEN {n} > 0 THEN ({a})::DOUBLE / {n} ELSE 0.0 END"
 _HAN, _LATIN = r"\p{Han}\p{Hiragana}\p{Katakana}ー", r"\p{Latin}"
 
@@ -50,8 +57,26 @@ _CHARS = ", ".join(_RATIO.format(a=_kept(c), n="length(t)") + f" AS char_{k}" fo
 _LINES = f"list_filter(regexp_split_to_array(t, '\\r?\\n'), lambda x: regexp_matches(x, '[^{_WS}]'))"
 _DUP = _RATIO.format(a=f"len({_LINES}) - len(list_distinct({_LINES}))", n=f"len({_LINES})")
 _SYMBOL = _RATIO.format(a=r"length(regexp_replace(t, '[^!-/0-9:-@\[-`{-~]', '', 'g'))", n=f"length(regexp_replace(t, '[{_WS}]', '', 'g'))")
-_MARK = r"regexp_replace(regexp_replace(regexp_replace(t, '\r?\n', chr(1), 'g'), '([。！？])', '\1' || chr(1), 'g'), '([.?!][\"''”’)\]]?)\s+([^\p{Ll}\s])', '\1' || chr(1) || '\2', 'g')"
-_SENTENCES = f"list_filter(list_transform(string_split({_MARK}, chr(1)), lambda x: length(regexp_replace(x, '^[{_WS}]+|[{_WS}]+$', '', 'g'))), lambda n: n > 0)"
+_CLOSE, _BLANK, _GOES_ON = "\"'()\\[\\]{}«»‘’‚‛“”„‟‹›", " \\t\\v\\f\\x{A0}", ",\\-:;–—、"
+
+
+def _sentences() -> str:
+    """Sentence ends by the rules of UAX 29: full stops that end none become chr(2), then chr(1) goes after the others and after line ends."""
+    then = f"[{_CLOSE}]*[{_BLANK}]*"
+    x = "t"
+    for pattern, to in (
+        (r"\.(\p{Nd})", r"\2"), (r"([\p{Lu}\p{Ll}])\.(\p{Lu})", None), (r"([\p{Lu}\p{Ll}])\.(\p{Lu})", None),
+        (rf"\.({then}[{_GOES_ON}.?!\x02])", r"\2"), (rf"\.({then}[{_GOES_ON}.?!\x02])", r"\2"), (rf"\.({then}[^\p{{L}}.?!。！？\r\n\x02]*\p{{Ll}})", r"\2"),
+    ):
+        pattern = pattern.replace("'", "''")
+        x = f"regexp_replace({x}, '{pattern}', {'chr(2) || ' + chr(39) + chr(92) + '1' + chr(39) if to else chr(39) + chr(92) + '1' + chr(39) + ' || chr(2) || ' + chr(39) + chr(92) + '2' + chr(39)}, 'g')"
+    ends = rf"((?:[.?!。！？]{then})+)([^{_CLOSE}{_BLANK}{_GOES_ON}.?!。！？\r\n\x02])".replace("'", "''")
+    x = rf"regexp_replace({x}, '{ends}', '\1' || chr(1) || '\2', 'g')"
+    x = rf"regexp_replace({x}, '(\r\n|[\r\n\x{{85}}\x{{2028}}\x{{2029}}])', '\1' || chr(1), 'g')"
+    return rf"list_transform(list_filter(string_split({x}, chr(1)), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]')), lambda x: length(regexp_replace(x, '^[{_WS}]+|[{_WS}]+$', '', 'g')))"
+
+
+_SENTENCES = _sentences()
 _LANG = f"CASE WHEN {_kept(_HAN)} = 0 AND {_kept(_LATIN)} = 0 THEN NULL WHEN {_kept(_HAN)} >= {_kept(_LATIN)} THEN 'ja' ELSE 'en' END"
 _OTHER = "coalesce(list_sum(list_transform(regexp_extract_all(t, '{p}'), lambda x: length(x))), 0)"
 _MIXED = _RATIO.format(a=f"CASE {_LANG} WHEN 'ja' THEN {_OTHER.format(p=f'[{_LATIN}][^{_HAN}]*')} WHEN 'en' THEN {_OTHER.format(p=f'[{_HAN}][^{_LATIN}]*')} ELSE 0 END", n="length(t)")
@@ -78,7 +103,7 @@ def _scored(table: str = "documents", key: str = "doc_id") -> str:
 
 
 def _scores(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
-    return scoring.score(_table(spark, sf_dir, table), ad_keywords=KEYWORDS, ad_patterns=PATTERNS)
+    return scoring.score(_spread(spark, sf_dir, table, "doc_id", "text"), ad_keywords=KEYWORDS, ad_patterns=PATTERNS)
 
 
 def _one(name: str, *columns: str) -> None:

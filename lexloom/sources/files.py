@@ -27,6 +27,12 @@ def discover(patterns: Sequence[str]) -> list[str]:
     return sorted(found)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table as read, over as many parts as there are cores if it comes in fewer: a file of one row group is one task otherwise. What comes in more stays as it is, so this moves little."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _path() -> Column:
     return F.url_decode(F.replace(F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", ""), F.lit("+"), F.lit("%2B")))
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom import cli
-from lexloom.functions import text as fn
+from lexloom.functions import metrics
 from lexloom.operators import dedup, html, plugins, scoring
 from lexloom.plans import cleaning, config
 from lexloom.sources import files
@@ -39,14 +39,47 @@ def test_metrics(spark):
     assert p["naturalness_score"] > 0.7 and q["naturalness_score"] < 0.5
 
 
-def test_words_and_language(spark):
-    df = spark.createDataFrame([("これはテスト、ラーメンと ABC漢字 don't 3.14 foo_bar x",)], "t string")
-    assert df.select(fn.words(F.col("t"))).first()[0] == ["こ", "れ", "は", "テスト", "ラーメン", "と", "abc", "漢", "字", "don't", "3.14", "foo_bar", "x"]
+WORD_CASES = {
+    "これはテスト、ラーメンと ABC漢字 don't 3.14 foo_bar x": ["こ", "れ", "は", "テスト", "ラーメン", "と", "abc", "漢", "字", "don't", "3.14", "foo_bar", "x"],
+    "foo,bar x;y 12:30 3:4 a:b 1,234.5 e.g. U.S.A. can’t 'quoted' a.1 1.a": ["foo", "bar", "x", "y", "12", "30", "3", "4", "a:b", "1,234.5", "e.g", "u.s.a", "can’t", "quoted", "a", "1", "1", "a"],
+    "a1b2 _ _x x_ __ - a--b Straße ÉCOLE e\u0301a o\u200dk": ["a1b2", "_x", "x_", "a", "b", "straße", "école", "e\u0301a", "o\u200dk"],
+    "": [],
+}
+SENTENCE_CASES = {
+    "Hello there. This is 3.14 ok? yes! Fine": ["Hello there.", "This is 3.14 ok?", "yes!", "Fine"],
+    "He met J. Smith, e.g. this one. \"Quoted.\" Next... and then? Yes": ["He met J.", "Smith, e.g. this one.", "\"Quoted.\"", "Next... and then?", "Yes"],
+    "U.S.A. is. what (so.) Then!? No": ["U.S.A. is. what (so.)", "Then!?", "No"],
+    "一つ。二つ！三つ": ["一つ。", "二つ！", "三つ"],
+    "a\nb\r\n\n - \nc.": ["a", "b", "c."],
+    "Wait?, no. 5 apples. 日本": ["Wait?, no. 5 apples.", "日本"],
+    " . ! ": [],
+}
+
+
+def test_segmentation_by_hand():
+    for text, want in WORD_CASES.items():
+        assert metrics.words(text) == want, text
+    for text, want in SENTENCE_CASES.items():
+        assert metrics.sentence_lengths(text) == [len(x) for x in want], text
+
+
+def test_plain_words_are_those_of_the_whole_rule():
+    rng = random.Random(3)
+    for _ in range(5000):
+        text = "".join(rng.choice("aBé1_.,:;'’· -ßİ\"") for _ in range(rng.randint(1, 14)))
+        assert metrics.words(text, "İ" not in text) == metrics.words(text), text
+    table = metrics._table()
+    assert [bool(table[ord(c)] & 256) for c in "aé1_.:'- 日α\u0301"] == [False] * 9 + [True] * 3
+
+
+def test_language(spark):
     ja, en, mixed, none = scored(spark, "これは日本語です", "this is English", "これは日本語の文章です abc", "123")
     assert (ja["detected_language"], en["detected_language"], mixed["detected_language"], none["detected_language"]) == ("ja", "en", "ja", None)
     assert mixed["language_mixed_ratio"] > 0 and ja["language_mixed_ratio"] == 0
     with pytest.raises(ValueError):
-        fn.detected_language(F.lit("x"), ["xx"])
+        scoring.score(spark.createDataFrame([("x",)], "text string"), allow=["xx"])
+    clash = scoring.score(spark.createDataFrame([("x", 1, 2)], "text string, __w int, char_kanji int")).first()
+    assert clash["__w"] == 1 and clash["char_kanji"] == 0.0
 
 
 def test_ladder_and_rules(spark):
