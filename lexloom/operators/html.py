@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -17,7 +18,6 @@ BLOCKS = frozenset(("p", "div", "section", "article", "main", "blockquote", "pre
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 _CLOSES_P = BLOCKS | {"header", "footer", "nav", "aside", "form", "hr", "dl", "figure", "fieldset", "address"}
 _AUTO = {"li": ({"li"}, {"ul", "ol"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th"}, {"table"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "body": ({"head"}, set())}
-_DEPTH = 250
 
 
 @dataclass
@@ -28,18 +28,22 @@ class Element:
 
 
 class _Tree(HTMLParser):
+    """Elements by HTML's rules for omitted end tags, at any depth; where each tag is open is kept, so that no tag walks the stack."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Element("#root")
         self.open = [self.root]
+        self.where: dict[str, list[int]] = {}
+
+    def _last(self, tags: set) -> int:
+        return max([places[-1] for t in tags if (places := self.where.get(t))], default=0)
 
     def _end(self, tags: set, bounds: set) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in bounds:
-                return
-            if self.open[i].tag in tags:
-                del self.open[i:]
-                return
+        i = self._last(tags)
+        if i and i > self._last(bounds):
+            while len(self.open) > i:
+                self.where[self.open.pop().tag].pop()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _CLOSES_P:
@@ -48,14 +52,15 @@ class _Tree(HTMLParser):
             self._end(*_AUTO[tag])
         e = Element(tag, {k: v or "" for k, v in attrs})
         self.open[-1].inner.append(e)
-        if tag not in VOID and len(self.open) < _DEPTH:
+        if tag not in VOID:
+            self.where.setdefault(tag, []).append(len(self.open))
             self.open.append(e)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        self._end({tag}, set() if tag in ("table", "body", "html") else {"table"} if tag not in ("td", "th", "tr", "tbody", "thead", "tfoot") else set())
+        self._end({tag}, set() if tag in ("table", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot") else {"table"})
 
     def handle_data(self, data: str) -> None:
         self.open[-1].inner.append(data)
@@ -71,54 +76,80 @@ def _first(e: Element, tag: str) -> Element | None:
     return None
 
 
+class _Out:
+    """Text under construction."""
+
+    def __init__(self) -> None:
+        self.parts: list[str] = []
+        self.tail = ""
+
+    def add(self, s: str) -> None:
+        if s:
+            self.parts.append(s)
+            self.tail = (self.tail + s[-2:])[-2:]
+
+    def blank(self) -> None:
+        if self.tail:
+            self.add("" if self.tail.endswith("\n") else "\n")
+            self.add("" if self.tail == "\n\n" else "\n")
+
+
+Steps = Iterator["Steps"]
+
+
 class _Writer:
+    """Rendering by generators that yield the generators of what is inside, so that depth costs no Python stack."""
+
     def __init__(self, strip: bool, markdown: bool, headings: bool, lists: bool, links: bool) -> None:
         self.strip, self.headings, self.lists, self.links = strip, markdown and headings, markdown and lists, markdown and links
-        self.out = ""
+
+    def run(self, e: Element) -> str:
+        out = _Out()
+        stack = [self.element(e, out)]
+        while stack:
+            inner = next(stack[-1], None)
+            if inner is None:
+                stack.pop()
+            else:
+                stack.append(inner)
+        return "".join(out.parts)
 
     def dropped(self, e: Element) -> bool:
         return e.tag in SKIP or self.strip and (e.tag in BOILERPLATE or any(_NAMED.search(e.attrs.get(k, "")) for k in ("class", "id")))
 
-    def blank(self) -> None:
-        if self.out:
-            self.out = self.out.rstrip("\n") + "\n\n"
-
-    def children(self, e: Element) -> None:
+    def children(self, e: Element, out: _Out) -> Steps:
         for x in e.inner:
             if isinstance(x, str):
-                self.out += x
+                out.add(x)
             else:
-                self.element(x)
-
-    def part(self, e: Element) -> str:
-        own, self.out = self.out, ""
-        self.children(e)
-        own, self.out = self.out, own
-        return own
+                yield self.element(x, out)
 
-    def element(self, e: Element) -> None:
+    def element(self, e: Element, out: _Out) -> Steps:
         if self.dropped(e):
             return
         if e.tag == "br":
-            self.out += "\n"
+            out.add("\n")
         elif e.tag in ("ul", "ol"):
-            self.blank()
-            items = [x for x in e.inner if isinstance(x, Element) and x.tag == "li" and not self.dropped(x)]
+            out.blank()
+            items = (x for x in e.inner if isinstance(x, Element) and x.tag == "li" and not self.dropped(x))
             for i, x in enumerate(items, 1):
-                self.out += (f"{i}. " if e.tag == "ol" else "- ") if self.lists else ""
-                self.out += self.part(x).strip() + "\n"
-            self.blank()
+                out.add((f"{i}. " if e.tag == "ol" else "- ") if self.lists else "")
+                yield self.children(x, out)
+                out.add("\n")
+            out.blank()
         elif e.tag in BLOCKS:
-            self.blank()
+            out.blank()
             if self.headings and e.tag[0] == "h" and e.tag[1:].isdigit():
-                self.out += "#" * int(e.tag[1:]) + " "
-            self.children(e)
-            self.blank()
-        elif e.tag == "a" and self.links and e.attrs.get("href"):
-            label = self.part(e).strip()
-            self.out += f"[{label}]({e.attrs['href']})" if label else ""
+                out.add("#" * int(e.tag[1:]) + " ")
+            yield self.children(e, out)
+            out.blank()
+        elif e.tag == "a" and self.links and "href" in e.attrs:
+            own = _Out()
+            yield self.children(e, own)
+            label = "".join(own.parts).strip()
+            out.add(f"[{label}]({e.attrs['href']})" if label else "")
         else:
-            self.children(e)
+            yield self.children(e, out)
 
 
 def normalise(text: str) -> str:
@@ -133,9 +164,7 @@ def render(html: str | None, strip_boilerplate: bool = True, markdown: bool = Fa
     tree.feed(html or "")
     tree.close()
     root = next((x for t in ("article", "main", "body") if (x := _first(tree.root, t)) is not None), tree.root)
-    writer = _Writer(strip_boilerplate, markdown, keep_headings, keep_lists, keep_links)
-    writer.element(root)
-    return normalise(writer.out)
+    return normalise(_Writer(strip_boilerplate, markdown, keep_headings, keep_lists, keep_links).run(root))
 
 
 def extract(html: Column, **options: bool) -> Column:

@@ -146,6 +146,18 @@ def test_html():
     assert "buy" in html.render(page, strip_boilerplate=False) and html.render(None) == ""
 
 
+def test_html_at_any_depth_and_size():
+    page = "<nav>n</nav><script>s</script><ul><li>a<li><p>b</p></ul><a href=''>c</a>"
+    want = html.render(f"<body>{page}", markdown=True, keep_links=True)
+    assert want == "- a\n-\n\nb\n\n[c]()"
+    for deep in (260, 20_000):
+        assert html.render("<div>" * deep + page, markdown=True, keep_links=True) == want
+    began = time.process_time()
+    assert html.render("<p>a</p>" * 40_000).count("a") == 40_000
+    html.render("<b>" * 40_000 + "</i>" * 40_000 + "<a href=x>" * 10_000)
+    assert time.process_time() - began < 6
+
+
 def write(path, data: bytes) -> str:
     path.write_bytes(data)
     return str(path)
