@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PRIME = (1 << 61) - 1
@@ -19,10 +21,24 @@ def validate(num_hashes: int, num_bands: int, threshold: float) -> None:
         raise ValueError("num_bands must be above 0 and divide num_hashes, and the threshold be from 0 to 1")
 
 
+def _few(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """df with a broadcast hint if it has at most limit rows, which is counted."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def exact(df: DataFrame, text_col: str = "text", order_col: str = "doc_id") -> DataFrame:
-    """df with duplicate_exact: true for all rows of a text but the first in order. Only digests are shuffled as keys."""
-    nth = F.row_number().over(Window.partitionBy(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).orderBy(order_col))
-    return df.withColumn("duplicate_exact", nth > 1)
+    """df with duplicate_exact: true for all rows of a text but the first in order.
+
+    A null text counts as an empty one. Values of order_col must be unique and not null; a column duplicate_exact is replaced.
+    Digests and order are shuffled, and first those of a task with themselves, so a frequent text is no one task's work; the texts stay
+    where they are unless a million rows are duplicates.
+    """
+    rows = df.select(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("__d"), F.col(order_col).alias("__o"))
+    first = rows.groupBy("__d").agg(F.count("*").alias("__n"), F.min("__o").alias("__first")).where("__n > 1").select("__d", "__first")
+    again = scratch(rows.join(_few(scratch(first)), "__d").where(F.col("__o") > F.col("__first")).select("__o"))
+    free = "__again" + "_" * max(map(len, df.columns))  # longer than any name there is
+    marked = df.drop("duplicate_exact").join(_few(again.select(F.col("__o").alias(free))), F.col(order_col) == F.col(free), "left")
+    return marked.withColumn("duplicate_exact", F.col(free).isNotNull()).drop(free)
 
 
 def fnv1a(data: bytes) -> int:
@@ -81,15 +97,25 @@ def _mulmod(a: int, x: np.ndarray, b: int) -> np.ndarray:
     return np.where(total >= p, total - p, total)
 
 
-def signature(text: str, num_hashes: int, shingle_size: int) -> np.ndarray:
+def signature(text: str, num_hashes: int, shingle_size: int, family: list[tuple[int, int]] | None = None) -> np.ndarray:
+    """The least values of num_hashes functions over a text's shingles; family is what coefficients gives for num_hashes."""
     x = _shingle_hashes(text, shingle_size)
     if not len(x):
         return np.zeros(num_hashes, np.int64)
     x = x % np.uint64(PRIME)
-    return np.array([_mulmod(a, x, b).min() for a, b in coefficients(num_hashes)], np.uint64).astype(np.int64)
+    return np.array([_mulmod(a, x, b).min() for a, b in family or coefficients(num_hashes)], np.uint64).astype(np.int64)
 
 
-def _scratch(df: DataFrame) -> DataFrame:
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001 - the session has ended; the folder's owner clears it
+        pass
+
+
+def scratch(df: DataFrame) -> DataFrame:
+    """Write a table to the folder that all executors share, spark.checkpoint.dir, and read it again. It is removed when the driver ends."""
     spark: SparkSession = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
@@ -98,37 +124,44 @@ def _scratch(df: DataFrame) -> DataFrame:
         where = f"file://{tempfile.mkdtemp(prefix='lexloom-')}"
     path = f"{where.rstrip('/')}/near-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def near(df: DataFrame, threshold: float = 0.85, num_hashes: int = 128, num_bands: int = 16, shingle_size: int = 25, text_col: str = "text", order_col: str = "doc_id", rounds: int = 1000) -> DataFrame:
+def near(df: DataFrame, threshold: float = 0.85, num_hashes: int = 128, num_bands: int = 16, shingle_size: int = 25, text_col: str = "text", order_col: str = "doc_id") -> DataFrame:
     """(order_col, duplicate_of): rows that are near a kept row before them, with such a row.
 
     Rows share one of num_bands bands of their MinHash signatures and at least
     threshold of its places.  A row is dropped only for a kept one, as a
     sequential pass would do it: rounds keep rows without an earlier open
-    neighbour and drop their neighbours.  Values of order_col must be unique.
+    neighbour and drop their neighbours, until no pair is open.  Values of order_col must be unique and not null; a null text counts as an empty one.
+
+    Rows of one signature are one row in the rounds, the first: the others are dropped for it, or
+    for what it is dropped for.
     """
     validate(num_hashes, num_bands, threshold)
     per = num_hashes // num_bands
 
     @F.pandas_udf("array<long>")
     def sign(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: signature(t or "", num_hashes, shingle_size))
+        family = coefficients(num_hashes)
+        return texts.map(lambda t: signature(t or "", num_hashes, shingle_size, family))
 
-    rows = _scratch(df.select(F.col(order_col).alias("ord"), sign(F.col(text_col)).alias("sig")))
+    whole = scratch(df.select(F.col(order_col).alias("ord"), sign(F.col(text_col)).alias("sig")))
+    rows = scratch(whole.groupBy("sig").agg(F.min("ord").alias("ord")))
     bands = rows.select("ord", F.posexplode(F.array(*(F.xxhash64(F.slice("sig", 1 + b * per, per)) for b in range(num_bands)))).alias("band", "key"))
     met = bands.toDF("a", "band", "key").join(bands.toDF("b", "band", "key"), ["band", "key"]).where("a < b").select("a", "b").distinct()
     equal = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
-    edges = _scratch(met.join(rows.toDF("a", "x"), "a").join(rows.toDF("b", "y"), "b").where(equal >= F.lit(threshold) * num_hashes - 1e-9).select("a", "b"))
-    open_, gone = edges, None
-    for _ in range(rounds):
+    sigs = rows.select("ord", "sig")
+    open_ = scratch(met.join(sigs.toDF("a", "x"), "a").join(sigs.toDF("b", "y"), "b").where(equal >= F.lit(threshold) * num_hashes - 1e-9).select("a", "b"))
+    gone: list[DataFrame] = []
+    while not open_.isEmpty():
         later = open_.select(F.col("b").alias("a")).distinct()
         roots = open_.join(later, "a", "left_anti")  # edges from rows that nothing open is before
-        dropped = roots.groupBy("b").agg(F.min("a").alias("duplicate_of"))
-        gone = _scratch(dropped) if gone is None else _scratch(gone.union(dropped))
-        ids = gone.select("b")
-        open_ = _scratch(open_.join(ids, "b", "left_anti").join(ids.withColumnRenamed("b", "a"), "a", "left_anti"))
-        if not open_.limit(1).count():
-            return gone.select(F.col("b").alias(order_col), "duplicate_of")
-    raise RuntimeError(f"near dedup isn't settled after {rounds} rounds")
+        gone.append(scratch(roots.groupBy("b").agg(F.min("a").alias("duplicate_of"))))
+        ids = gone[-1].select("b")
+        open_ = scratch(open_.join(ids, "b", "left_anti").join(ids.withColumnRenamed("b", "a"), "a", "left_anti"))
+    dropped = reduce(DataFrame.union, gone) if gone else open_.select("b", F.col("a").alias("duplicate_of"))
+    first = rows.select("sig", F.col("ord").alias("first")).join(dropped.withColumnRenamed("b", "first"), "first", "left")
+    every = whole.join(first, "sig").select("ord", F.coalesce("duplicate_of", F.when(F.col("ord") != F.col("first"), F.col("first"))).alias("duplicate_of"))
+    return every.where("duplicate_of is not null").select(F.col("ord").alias(order_col), "duplicate_of")

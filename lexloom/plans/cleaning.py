@@ -40,13 +40,13 @@ def decide(rows: DataFrame, config: dict, earlier: DataFrame | None = None) -> D
         rows = rows.withColumns({"plugin_scores": F.create_map().cast("map<string,double>"), "__reason": none})
     rows = rows.withColumn("reason", F.when(F.col("error").isNull(), F.coalesce("__reason", scoring.reason(thresholds, s["language"]["allow"], config["filters"]["rules"], "plugin_scores")))).drop("__reason")
     if d["exact"] or d["minhash_lsh"]:
-        rows = dedup._scratch(rows)
+        rows = dedup.scratch(rows)
         open_ = rows.where("error is null and reason is null").select(F.struct(F.lit(1).alias("run"), F.col("ord.file_rank").alias("f"), F.col("ord.rec_no").alias("r")).alias("o"), "text")
         if earlier is not None:
             open_ = open_.union(earlier.select(F.struct(F.lit(0).alias("run"), F.col("ord.file_rank").alias("f"), F.col("ord.rec_no").alias("r")).alias("o"), "text"))
         again = []
         if d["exact"]:
-            marked = dedup._scratch(dedup.exact(open_, "text", "o"))
+            marked = dedup.scratch(dedup.exact(open_, "text", "o"))
             again.append(marked.where("duplicate_exact").select("o", F.lit("duplicate_exact").alias("why")))
             open_ = marked.where("not duplicate_exact").drop("duplicate_exact")
         if d["minhash_lsh"]:
@@ -85,7 +85,7 @@ def run(spark: SparkSession, config: dict, dry_run: bool = False) -> Result:
     todo = [f for f in found if os.path.abspath(f) not in set(state["done"])]
     rows = files.read(spark, inp["format"], todo, inp["text_mode"], inp["text_field"], inp["meta_fields"])
     earlier = spark.read.parquet(*state["index"]).select("ord", "text") if state["index"] else None
-    decided = dedup._scratch(decide(rows, config, earlier))
+    decided = dedup.scratch(decide(rows, config, earlier))
     metrics = F.struct(*scoring.FIELDS, "plugin_scores").alias("scores")
     columns = ["id", "text", "meta", metrics] if out["format"] == "jsonl" else ["id", "source_path", "text", "meta", *scoring.FIELDS, "plugin_scores"]
     more = state["runs"] > 0

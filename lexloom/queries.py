@@ -167,12 +167,12 @@ def score_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 AS duplicate_exact FROM documents")
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.exact(_table(spark, sf_dir, "documents")).select("doc_id", "duplicate_exact")
+    return dedup.exact(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "duplicate_exact")
 
 
 @query()
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = dedup.exact(_table(spark, sf_dir, "documents")).where("not duplicate_exact")
+    docs = dedup.exact(_spread(spark, sf_dir, "documents", "doc_id", "text")).where("not duplicate_exact")
     return dedup.near(docs.select("doc_id", "text"), 0.6, 64, 16, 8)
 
 
