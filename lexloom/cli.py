@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 from lexloom.plans import cleaning, config
@@ -33,8 +34,11 @@ def main(args: list[str] | None = None) -> dict:
     with open(a.config) as f:
         chosen = config.load(f.read(), {t: {k: v for k, v in x.items() if v is not None} for t, x in given.items()})
     threads = chosen["runtime"]["threads"]
-    spark = SparkSession.builder.master(f"local[{threads or '*'}]").config("spark.sql.execution.arrow.maxRecordsPerBatch", chosen["runtime"]["batch_size"]).getOrCreate()
-    spark.sparkContext.setLogLevel(chosen["runtime"]["log_level"].upper().replace("WARNING", "WARN"))
+    builder = SparkSession.builder
+    if not SparkConf().contains("spark.master"):  # else the cluster that it was submitted to
+        builder = builder.master(f"local[{threads or '*'}]")
+    spark = builder.config("spark.sql.execution.arrow.maxRecordsPerBatch", chosen["runtime"]["batch_size"]).getOrCreate()
+    spark.sparkContext.setLogLevel(chosen["runtime"]["log_level"].upper())
     return cleaning.run(spark, chosen, a.dry_run).report
 
 

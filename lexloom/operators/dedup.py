@@ -114,7 +114,7 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def scratch(df: DataFrame) -> DataFrame:
+def scratch(df: DataFrame, kind: str = "parquet") -> DataFrame:
     """Write a table to the folder that all executors share, spark.checkpoint.dir, and read it again. It is removed when the driver ends."""
     spark: SparkSession = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -123,9 +123,9 @@ def scratch(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='lexloom-')}"
     path = f"{where.rstrip('/')}/near-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.format(kind).save(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).format(kind).load(path)
 
 
 def near(df: DataFrame, threshold: float = 0.85, num_hashes: int = 128, num_bands: int = 16, shingle_size: int = 25, text_col: str = "text", order_col: str = "doc_id") -> DataFrame:

@@ -51,6 +51,8 @@ def validate_rule(name: str, node: Mapping[str, Any]) -> None:
         raise ValueError(f"rule {name!r}: unknown field {field!r}")
     if op not in (*_COMPARE, "in", "not_in"):
         raise ValueError(f"rule {name!r}: unknown operator {op!r}")
+    if "value" not in node:
+        raise ValueError(f"rule {name!r}: a comparison needs a value")
 
 
 def rule(node: Mapping[str, Any], plugin_scores: str | None = None) -> Column:

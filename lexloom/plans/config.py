@@ -23,7 +23,7 @@ DEFAULTS: dict[str, Any] = {
     "stats": {"output_path": None, "format": "json"},
     "plugins": [],
 }
-_CHOICES = {("input", "format"): ("text", "jsonl", "warc", "html"), ("input", "text_mode"): ("newline_delimited", "one_file_per_document"), ("output", "format"): ("jsonl", "parquet"), ("stats", "format"): ("json", "text")}
+_CHOICES = {("input", "format"): ("text", "jsonl", "warc", "html"), ("input", "text_mode"): ("newline_delimited", "one_file_per_document"), ("output", "format"): ("jsonl", "parquet"), ("stats", "format"): ("json", "text"), ("runtime", "log_level"): ("trace", "debug", "info", "warn", "error")}
 
 
 def _merge(base: dict, given: dict) -> dict:

@@ -200,6 +200,14 @@ def plugin_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", done.alias("p")).select("doc_id", F.round(F.col("p.scores")["shout"] + 1e-12, 9).alias("score"), F.col("p.reason").alias("reason"))
 
 
+@query("SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL")
+def jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as JSON Lines, written and read again with two fields as metadata."""
+    rows = _table(spark, sf_dir, "conversations").select(F.to_json(F.struct("conv_id", "turn", "text")).alias("value"))
+    lines = files.read(spark, "jsonl", files.discover(sorted(dedup.scratch(rows, "text").inputFiles()), spark), meta_fields=["conv_id", "turn"])
+    return lines.select(*(F.get_json_object("meta", f"$.{x}").cast("long").alias(x) for x in ("conv_id", "turn")), "text")
+
+
 _JOB = """
 [input]
 format = "text"

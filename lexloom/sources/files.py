@@ -4,29 +4,52 @@ from __future__ import annotations
 
 import glob
 import gzip
+import io
 import json
 import os
 import re
+import warnings
 from collections.abc import Iterator, Sequence
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lexloom.functions.text import WS
+from lexloom.sources import storage
 
 ROW = "ord struct<file_rank:int,rec_no:long>, id string, source_path string, text string, meta string, error string"
 
 
-def discover(patterns: Sequence[str]) -> list[str]:
-    """Files that the patterns name, sorted, each once. A folder stands for what is in it; ** goes into subfolders; what matches nothing is left out."""
+def discover(patterns: Sequence[str], spark: SparkSession | None = None) -> list[str]:
+    """Files that the patterns name, sorted, each once. A folder stands for what is in it; ** goes into subfolders; what matches nothing is left out, with a warning. Patterns with a scheme (hdfs://, s3a://, ...) need the session."""
     found: set[str] = set()
     for p in patterns:
-        p = os.path.join(p, "**") if os.path.isdir(p) else p
-        found |= {x for x in ([p] if os.path.isfile(p) else glob.glob(p, recursive=True)) if os.path.isfile(x)}
+        if "://" in p:
+            names = set(storage.find(spark or SparkSession.active(), p))
+        else:
+            q = os.path.join(p, "**") if os.path.isdir(p) else p
+            names = {x for x in ([q] if os.path.isfile(q) else glob.glob(q, recursive=True)) if os.path.isfile(x)}
+        if not names:
+            warnings.warn(f"no file matches {p}", stacklevel=2)
+        found |= names
     return sorted(found)
 
 
+def unreadable(files: Sequence[str]) -> dict[str, str]:
+    """Local files that can't be opened, and why."""
+    out: dict[str, str] = {}
+    for f in files:
+        if "://" not in f:
+            try:
+                with open(f, "rb"):
+                    pass
+            except OSError as e:
+                out[f] = str(e)
+    return out
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table as read, over as many parts as there are cores if it comes in fewer: a file of one row group is one task otherwise. What comes in more stays as it is, so this moves little."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -38,7 +61,7 @@ def _path() -> Column:
 
 
 def _ranked(spark: SparkSession, df: DataFrame, files: Sequence[str]) -> DataFrame:
-    names = spark.createDataFrame([(os.path.abspath(f), f, i) for i, f in enumerate(files)], "full string, source_path string, file_rank int")
+    names = spark.createDataFrame([(f if "://" in f else os.path.abspath(f), f, i) for i, f in enumerate(files)], "full string, source_path string, file_rank int")
     return df.join(F.broadcast(names) if len(files) <= 100_000 else names, "full")
 
 
@@ -48,12 +71,18 @@ def _row(id_: Column, meta: Column | None = None, error: Column | None = None) -
 
 
 def _lines(spark: SparkSession, files: Sequence[str]) -> DataFrame:
-    """Numbered lines of all files; of a file with invalid UTF-8 those before it, and one row with an error."""
+    """Numbered lines of all files; of a file with invalid UTF-8 those before it, and one row with an error.
+
+    Lines are numbered where they are read: a first pass counts those of each block of a file, sums over the blocks before give
+    each block its first number. Only a row a block is shuffled, so a file of any size is read by many tasks.
+    """
     raw = spark.read.text(list(files), lineSep="\n").select(_path().alias("full"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"), "value")
-    numbered = raw.withColumn("rec_no", F.row_number().over(Window.partitionBy("full").orderBy("__block", "__at")))
-    bad = F.min(F.when(~F.is_valid_utf8("value"), F.col("rec_no"))).over(Window.partitionBy("full"))
-    kept = numbered.withColumn("__bad", bad).where("__bad is null or rec_no <= __bad")
-    return _ranked(spark, kept.withColumn("error", F.when(F.col("rec_no") == F.col("__bad"), F.lit("invalid UTF-8"))), files)
+    blocks = raw.groupBy("full", "__block").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"), F.min(F.when(~F.is_valid_utf8("value"), F.col("__at"))).alias("__bad"))
+    before = Window.partitionBy("full").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1)
+    blocks = blocks.withColumn("__bad", F.min(F.col("__start") + F.col("__bad")).over(Window.partitionBy("full"))).select("full", "__block", "__start", "__bad")
+    numbered = raw.join(blocks, ["full", "__block"]).withColumn("rec_no", F.col("__start") + F.col("__at")).where("__bad is null or rec_no <= __bad")
+    return _ranked(spark, numbered.withColumn("error", F.when(F.col("rec_no") == F.col("__bad"), F.lit("invalid UTF-8"))), files)
 
 
 def _blank(c: Column) -> Column:
@@ -80,7 +109,7 @@ def read_jsonl(spark: SparkSession, files: Sequence[str], text_field: str = "tex
     rows = _lines(spark, files).withColumn("__v", F.try_parse_json(F.when(F.col("error").isNull(), F.col("value"))))
     fields = [F.when(at(f).isNotNull(), F.concat(F.lit(json.dumps(f) + ":"), F.to_json(at(f)))) for f in meta_fields]
     meta = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")) if fields else F.lit("{}")
-    rows = rows.withColumn("text", F.when(F.schema_of_variant(at(text_field)) == "STRING", F.try_variant_get("__v", "$['" + text_field + "']", "string")))
+    rows = rows.withColumn("text", F.when(F.schema_of_variant(at(text_field)) == "STRING", F.try_variant_get("__v", "$['" + text_field.replace("'", "\\'") + "']", "string")))
     return rows.where("text is not null or error is not null").select(_row(F.concat_ws(":", "source_path", "rec_no"), meta, F.col("error")))
 
 
@@ -113,6 +142,13 @@ def http_body(block: bytes) -> bytes:
     return block
 
 
+def _open(path: str):
+    if "://" in path:
+        system, place = fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", path))
+        return io.BufferedReader(system.open_input_file(place))
+    return open(path, "rb")
+
+
 class _Warc(DataSourceReader):
     def __init__(self, files: list[str]) -> None:
         self.files = files
@@ -124,7 +160,7 @@ class _Warc(DataSourceReader):
         rank, path = partition.value
         n = 0
         try:
-            with gzip.open(path, "rb") if path.lower().endswith(".gz") else open(path, "rb") as stream:
+            with _open(path) as raw, gzip.open(raw, "rb") if path.lower().endswith(".gz") else raw as stream:
                 for headers, block in warc_records(stream):
                     if headers.get("WARC-Type") != "response":
                         continue
@@ -162,18 +198,33 @@ def read(spark: SparkSession, kind: str, files: Sequence[str], text_mode: str =
     kinds = {"jsonl": lambda: read_jsonl(spark, files, text_field, meta_fields), "text": lambda: read_text(spark, files, text_mode == "one_file_per_document"), "html": lambda: read_html(spark, files), "warc": lambda: read_warc(spark, files)}
     if kind not in kinds:
         raise ValueError(f"unknown input format {kind!r}")
-    return kinds[kind]()
-
-
-def write(df: DataFrame, kind: str, path: str, append: bool = False, shard_max_rows: int | None = None) -> None:
-    """JSON Lines (nulls included) or Parquet files in the folder path, with at most shard_max_rows rows each."""
-    mode = "append" if append else "overwrite"
-    if kind == "jsonl":
-        out = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode(mode)
-    elif kind == "parquet":
-        out = df.write.mode(mode)
-    else:
+    given, failed = files, unreadable(files)
+    files = [f for f in given if f not in failed]
+    if not failed:
+        return kinds[kind]()
+    errors = spark.createDataFrame([((given.index(f), 0), f, f, None, "{}", why) for f, why in failed.items()], ROW)
+    return kinds[kind]().union(errors) if files else errors
+
+
+def write(df: DataFrame, kind: str, path: str, append: bool = False, shard_max_rows: int | None = None, staged: str | None = None) -> None:
+    """JSON Lines (nulls included, meta as an object) or Parquet files in the folder path, with at most shard_max_rows rows each.
+
+    Results that an earlier call left there are replaced unless append; a folder with anything else in it is refused.
+    staged: a name; the files go to a folder of this name in path and are moved by storage.publish.
+    """
+    spark = df.sparkSession
+    if kind not in ("jsonl", "parquet"):
         raise ValueError(f"unknown output format {kind!r}")
+    storage.claim(spark, path)
+    if not append:
+        storage.clear(spark, path)
+    out = df
+    if kind == "jsonl":
+        if "meta" in df.columns:
+            out = out.withColumn("meta", F.parse_json("meta"))
+        out = out.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    writer = out.write.mode("append")
     if shard_max_rows:
-        out = out.option("maxRecordsPerFile", shard_max_rows)
-    out.text(path) if kind == "jsonl" else out.parquet(path)
+        writer = writer.option("maxRecordsPerFile", shard_max_rows)
+    where = f"{path}/{staged}" if staged else path
+    writer.text(where) if kind == "jsonl" else writer.parquet(where)

@@ -15,7 +15,7 @@ from lexloom import cli
 from lexloom.functions import metrics
 from lexloom.operators import dedup, html, plugins, scoring
 from lexloom.plans import cleaning, config
-from lexloom.sources import files
+from lexloom.sources import files, storage
 from lexloom.streaming import texts as stream_texts
 
 
@@ -192,13 +192,29 @@ def endless(text, meta, config):
         time.sleep(0.01)
 
 
+def stubborn(text, meta, config):
+    while True:
+        try:
+            time.sleep(0.01)
+        except Exception:
+            pass
+
+
+def greedy(text, meta, config):
+    return {"score": len(bytearray(64 << 20))}
+
+
 def test_plugins(spark):
     chain = lambda *p: [tuple(r[0]) for r in spark.createDataFrame([("short",), ("a long long text",), (None,)], "t string").select(plugins.chain(F.col("t"), F.lit("{}"), p)).collect()]
     p = {"name": "p", "path": "tests.test_library:score_length"}
     assert chain(p, p | {"name": "q", "config": {"most": 3}}) == [({"p": 5.0, "q": 5.0}, "plugin:q:long", None), ({"p": 16.0}, "plugin:p:long", None), ({"p": 0.0, "q": 0.0}, None, None)]
     assert all("timeout" in e for _, _, e in chain({"name": "x", "path": "tests.test_library:endless", "timeout_ms": 30}))
-    with pytest.raises(ValueError):
-        plugins.validate([{"name": "", "path": "x"}])
+    assert all("timeout" in e for _, _, e in chain({"name": "x", "path": "tests.test_library:stubborn", "timeout_ms": 30}))
+    assert all("memory" in e for _, _, e in chain({"name": "x", "path": "tests.test_library:greedy", "timeout_ms": 3000}))
+    assert all("no attribute" in e for _, _, e in chain({"name": "x", "path": "tests.test_library:missing"}))
+    for bad in ({"name": "", "path": "x"}, {"name": "x", "path": "m:f", "memory_limit_bytes": 0}):
+        with pytest.raises(ValueError):
+            plugins.validate([bad])
 
 
 TOML = """
@@ -235,21 +251,63 @@ def test_job(spark, tmp_path, kind):
     toml = TOML.format(dir=tmp_path, format=kind)
     (tmp_path / "c.toml").write_text(toml)
     dry = cli.main(["run", "--config", str(tmp_path / "c.toml"), "--dry-run"])
-    assert dry["summary"]["accepted"] == 2 and not (tmp_path / "out").exists()
+    assert dry["summary"]["accepted_records"] == 2 and not (tmp_path / "out").exists()
     first = cleaning.run(spark, config.load(toml)).report
-    assert {k: v for k, v in first["summary"].items() if k != "elapsed_seconds"} == {"total": 6, "accepted": 2, "rejected": 4, "error": 0}
+    assert {k: v for k, v in first["summary"].items() if k != "elapsed_seconds"} == {"total_input_records": 6, "accepted_records": 2, "rejected_records": 4, "error_records": 0}
     assert first["rejection_reasons"] == {"duplicate_exact": 1, "duplicate_line_ratio_exceeded": 1, "duplicate_near_duplicate": 1, "residual_html_detected": 1}
     (tmp_path / "in/b.jsonl").write_text(json.dumps({"text": text}) + "\n" + json.dumps({"text": "A new line of text on quite another matter."}) + "\n")
     second = cleaning.run(spark, config.load(toml)).report
-    assert second["summary"]["total"] == 8 and second["summary"]["accepted"] == 3 and second["rejection_reasons"]["duplicate_exact"] == 2
+    assert second["summary"]["total_input_records"] == 8 and second["summary"]["accepted_records"] == 3 and second["rejection_reasons"]["duplicate_exact"] == 2
     out = spark.read.format("json" if kind == "jsonl" else "parquet").load(str(tmp_path / "out"))
-    assert out.count() == 3 and json.loads((tmp_path / "out.stats.json").read_text())["summary"]["total"] == 8
+    assert out.count() == 3 and json.loads((tmp_path / "out.stats.json").read_text())["summary"]["total_input_records"] == 8
+    if kind == "jsonl":
+        line = json.loads(out.sparkSession.read.text(str(tmp_path / "out")).first()[0])
+        assert isinstance(line["meta"], dict) and set(line["scores"]["char_ratios"]) == {"hiragana", "katakana", "kanji", "alnum", "other"}
+    assert set(second) == {"summary", "rejection_reasons", "score_distributions", "char_type_ratios_aggregate", "content_quality"}
+    # a run that broke off after the manifest is completed by the next
+    state = json.loads((tmp_path / "state/manifest.json").read_text())
+    left = tmp_path / "out/_staged-x"
+    left.mkdir()
+    moved = next((tmp_path / "out").glob("part-*"))
+    moved.rename(left / moved.name)
+    storage.write_text(spark, str(tmp_path / "state/manifest.json"), json.dumps(state | {"staged": [[str(left), str(tmp_path / "out")]]}))
+    assert cleaning.run(spark, config.load(toml)).report["summary"]["total_input_records"] == 8
+    assert spark.read.format("json" if kind == "jsonl" else "parquet").load(str(tmp_path / "out")).count() == 3 and not left.exists()
+
+
+def test_foreign_folders_are_refused(spark, tmp_path):
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out/theirs.txt").write_text("x")
+    with pytest.raises(FileExistsError):
+        files.write(spark.range(3), "parquet", str(tmp_path / "out"))
+    assert (tmp_path / "out/theirs.txt").read_text() == "x"
+    for n in (3, 2):
+        files.write(spark.range(n), "parquet", str(tmp_path / "ours"))
+    files.write(spark.range(1), "parquet", str(tmp_path / "ours"), append=True)
+    assert spark.read.parquet(str(tmp_path / "ours")).count() == 3
+
+
+def test_lines_of_many_blocks_and_missing_files(spark, tmp_path):
+    lines = [f"line {i}" for i in range(2000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines))
+    (tmp_path / "b.txt").write_bytes("\n".join(lines[:900]).encode() + b"\n\xff\n" + b"x\n" * 900)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        a, b, gone = (str(tmp_path / x) for x in ("a.txt", "b.txt", "gone.txt"))
+        rows = files.read(spark, "text", [a, b, gone]).orderBy("ord").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.id, r.text) for r in rows[:2000]] == [(f"{a}:{i + 1}", x) for i, x in enumerate(lines)]
+    assert [(r.id, r.text) for r in rows[2000:2900]] == [(f"{b}:{i + 1}", x) for i, x in enumerate(lines[:900])]
+    assert [(r.id, bool(r.error)) for r in rows[2900:]] == [(f"{b}:901", True), (gone, True)]
+    with pytest.warns(UserWarning):
+        assert files.discover([str(tmp_path / "*.none"), f"file://{tmp_path}/a*"], spark) == [f"file:{tmp_path}/a.txt"]
 
 
 def test_config():
     base = '[input]\nformat = "text"\npaths = ["x"]\n[output]\nformat = "jsonl"\npath = "y"\n'
     assert config.load(base)["dedup"]["num_hashes"] == 128
-    for bad in ('[scoring.language]\nallow = ["xx"]', "[scoring.text_quality]\nperplexity_enabled = true", '[scoring.content_quality]\nad_patterns = ["("]', "[dedup]\nminhash_lsh = true\nnum_bands = 7", "[runtime]\nbatch_size = 0", '[[plugins]]\nname = ""\npath = "m:f"', '[[filters.rules]]\nname = "r"\nwhen = {field = "no", op = "lt", value = 1}'):
+    for bad in ('[scoring.language]\nallow = ["xx"]', "[scoring.text_quality]\nperplexity_enabled = true", '[scoring.content_quality]\nad_patterns = ["("]', "[dedup]\nminhash_lsh = true\nnum_bands = 7", "[runtime]\nbatch_size = 0", '[runtime]\nlog_level = "loud"', '[[filters.rules]]\nname = "r"\nwhen = {field = "seo_spam_score", op = "lt"}', '[[plugins]]\nname = ""\npath = "m:f"', '[[filters.rules]]\nname = "r"\nwhen = {field = "no", op = "lt", value = 1}'):
         with pytest.raises(ValueError):
             config.load(base + bad)
     with pytest.raises(ValueError):
