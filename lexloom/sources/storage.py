@@ -50,7 +50,7 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def find(spark: SparkSession, pattern: str) -> list[str]:
-    """Files that a pattern with a scheme names; a folder, and ** at the end of a pattern, stand for all files below."""
+    """Files that a pattern with a scheme names; a folder, and ** at the end of a pattern, stand for all files below. Local ones come without the scheme."""
     fs, p = _at(spark, pattern.removesuffix("/**"))
     out: list[str] = []
     for status in fs.globStatus(p) or []:
@@ -60,7 +60,7 @@ def find(spark: SparkSession, pattern: str) -> list[str]:
             files = fs.listFiles(status.getPath(), True)
             while files.hasNext():
                 out.append(files.next().getPath().toString())
-    return out
+    return [x[5:] if x.startswith("file:/") else x for x in out]
 
 
 def claim(spark: SparkSession, path: str) -> None:

@@ -301,7 +301,7 @@ def test_lines_of_many_blocks_and_missing_files(spark, tmp_path):
     assert [(r.id, r.text) for r in rows[2000:2900]] == [(f"{b}:{i + 1}", x) for i, x in enumerate(lines[:900])]
     assert [(r.id, bool(r.error)) for r in rows[2900:]] == [(f"{b}:901", True), (gone, True)]
     with pytest.warns(UserWarning):
-        assert files.discover([str(tmp_path / "*.none"), f"file://{tmp_path}/a*"], spark) == [f"file:{tmp_path}/a.txt"]
+        assert files.discover([str(tmp_path / "*.none"), f"file://{tmp_path}/a*"], spark) == [f"{tmp_path}/a.txt"]
 
 
 def test_config():
