@@ -469,6 +469,28 @@ def test_compact_windows_are_the_runs_with_one_minimum():
     assert seen == want
 
 
+def test_signatures_where_a_word_repeats_are_few(spark):
+    """A run of one word has few signatures, and equal runs of 50 words that lie in it, begin in it or end in it are all found."""
+    rng = random.Random(31)
+    q = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    left, right = q(30), q(30)
+    texts = [["the"] * 3000, [*q(60), *["the"] * 55, *q(60)], [*q(60), *left, *["the"] * 200, *q(40)], [*q(20), *left, *["the"] * 25, *q(60)], [*q(60), *["the"] * 90, *right, *q(9)], [*q(60), *["the"] * 30, *right, *q(60)], q(300)]
+    texts += [[*q(30), *["x", "y"][k % 2 :], *["of"] * 300, *q(5)] for k in range(6)]
+    column = pa.array([" ".join(t) for t in texts])
+    tokens, bounds = passages.shingles(*words(column), 3)
+    for key, place in passages.signatures(tokens, bounds, 48, range(3)):
+        assert np.bincount(np.searchsorted(bounds, place, "right") - 1, minlength=len(texts))[0] < 100
+    where: dict[tuple, set] = {}
+    for i, w in enumerate(texts):
+        for k in range(len(w) - 49):
+            where.setdefault(tuple(w[k : k + 50]), set()).add((i, k))
+    want = {(i, p) for v in where.values() if len({i for i, _ in v}) > 1 for i, k in v for p in range(k, k + 50)}
+    covered = set()
+    for r in passages.repeated_passages(spark.createDataFrame(list(enumerate(column.to_pylist())), "doc_id long, text string")).collect():
+        covered |= {(r.doc_id, p) for p in range(r.start_word, r.end_word)} | {(r.other_id, p) for p in range(r.other_start, r.other_end)}
+    assert want <= covered and not any(i == 6 for i, _ in covered)
+
+
 def test_repeated_passages(spark, docs, empty):
     rows = passages.repeated_passages(docs).collect()
     covered: dict[int, set[int]] = {}
