@@ -557,6 +557,37 @@ def test_passages_of_a_frequent_signature(spark, monkeypatch, group):
     assert len([p for p in found if p[0] >= 2000]) < 2000
 
 
+def test_similar_places_of_a_frequent_signature_are_all_linked(spark, monkeypatch):
+    """Pairs that differ in 10 of 50 words, in one group that is far over its limit; and one that is like a near copy, but not like what stands for that."""
+    monkeypatch.setattr(passages, "GROUP", 8)
+    rng = np.random.default_rng(61)
+    a = passages._Around(3, 50, 0.8)
+    q = lambda n: rng.integers(1, 1 << 63, n, dtype=np.uint64) << np.uint64(1)
+    line, texts, want = q(3), [], set()
+
+    def edit(text, places):
+        out = text.copy()
+        out[places] = q(len(places))
+        return out
+
+    for k in range(60):
+        one = np.r_[q(24), line, q(23)]
+        other = edit(one, rng.permutation(np.r_[0:24, 27:50])[:10])
+        want.add((len(texts) + 1, len(texts)))
+        texts += [one, other]
+    for k in range(10):
+        one = np.r_[q(24), line, q(23)]
+        near = edit(one, np.arange(0, 7))
+        want |= {(len(texts) + 1, len(texts)), (len(texts) + 2, len(texts) + 1)}
+        texts += [one, near, edit(near, np.arange(27, 36))]
+    rows = []
+    for i, text in enumerate(texts):
+        around = a.pack(text, np.array([24]), np.array([24]), np.array([26]))
+        rows.append((7, i, 24, bytearray(around[0].tobytes())))
+    now = spark.createDataFrame(rows, passages._ROW)
+    assert {(r.doc_id, r.other_id) for r in passages._meet(now, a, 4).collect()} == want
+
+
 def test_passages_at_the_threshold(spark):
     rng = random.Random(22)
     rows = []
