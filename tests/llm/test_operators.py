@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -469,6 +470,82 @@ def test_compact_windows_are_the_runs_with_one_minimum():
     assert seen == want
 
 
+def test_first_minima_are_those_of_compact_windows():
+    rng = np.random.default_rng(3)
+    for top in (2, 6, 30, 1 << 40):
+        for size in (0, 3, 47, 48, 400):
+            bounds = np.r_[0, np.cumsum(rng.integers(0, 120, size // 40)), size] if size > 200 else np.array([0, size])
+            v = rng.integers(1, top, size).astype(np.uint64) << np.uint64(20)
+            bounds = np.unique(np.minimum(bounds, size)) if size else bounds
+            assert passages.first_minima(v, bounds, 48).tolist() == passages.compact_windows(v, bounds, 48)[1].tolist()
+
+
+def _group(rng, families, members, alone):
+    """Words around the places of one signature: families of edited copies of a text, and texts of their own."""
+    q = lambda n: rng.integers(1, 1 << 63, n, dtype=np.uint64) << np.uint64(1)
+    line, texts = q(3), []
+    for k in range(families + alone):
+        one = np.r_[q(47), line, q(47)]
+        texts.append(one)
+        for _ in range(members if k < families else 0):
+            some = rng.permutation(np.r_[0:47, 50:97])[: rng.integers(0, 22)]
+            texts.append(one.copy())
+            texts[-1][some] = q(len(some))
+    return [texts[i] for i in rng.permutation(len(texts))]
+
+
+def _links(a, groups):
+    """Of _like_runs over groups of texts: its links by row, and CPU seconds."""
+    around = np.concatenate([a.pack(t, np.array([a.before]), np.array([a.before]), np.array([a.min_words])) for g in groups for t in g])
+    codes, low, high = a.unpack(pa.array([x.tobytes() for x in around], pa.binary()))
+    group = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+    began = time.process_time()
+    x, y, _, _ = passages._like_runs(a, np.arange(len(group)) // 2 if len(groups) > 1 else np.arange(len(group)), group, codes, low, high)
+    return x, y, time.process_time() - began
+
+
+def _classes(x, y, n):
+    of = list(range(n))
+    for i, j in zip(x.tolist(), y.tolist()):
+        while of[i] != i:
+            i = of[i]
+        while of[j] != j:
+            j = of[j]
+        of[max(i, j)] = min(i, j)
+    for i in range(n):
+        of[i] = of[of[i]]
+    return of
+
+
+def test_blocks_of_rows_give_the_classes_of_single_rows(monkeypatch):
+    """Groups of any size have the same linked classes whether rows are compared one or many at a time; no two like rows stay apart."""
+    rng, a = np.random.default_rng(71), passages._Around(3, 50, 0.8)
+    groups = [_group(rng, *x) for x in ((1, 1, 0), (0, 0, 5), (3, 4, 20), (10, 12, 80), (1, 150, 3), (40, 2, 100))]
+    n, got = sum(map(len, groups)), []
+    for least in (2, 48, 10**9):
+        monkeypatch.setattr(passages, "DENSE", least)
+        x, y, _ = _links(a, groups)
+        got.append(_classes(x, y, n))
+    assert got[0] == got[1] == got[2]
+    texts = [t for g in groups for t in g]
+    group = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+    for i in range(n):
+        for j in np.flatnonzero((group[:i] == group[i]) & (np.arange(i) // 2 != i // 2)).tolist():
+            m = np.cumsum(np.r_[0, np.where(texts[i] == texts[j], 200, -800)])
+            if got[0][i] != got[0][j]:
+                assert all(m[e] < m[: min(48, e - 49)].min() for e in range(50, 98))
+
+
+def test_unlike_rows_of_a_large_group_take_little_time(monkeypatch):
+    rng, a = np.random.default_rng(72), passages._Around(3, 50, 0.8)
+    rows = _group(rng, 20, 1, 3000)
+    x, y, fast = _links(a, [rows])
+    monkeypatch.setattr(passages, "DENSE", 10**9)
+    u, v, slow = _links(a, [rows])
+    assert _classes(x, y, len(rows)) == _classes(u, v, len(rows)) and len(x)
+    assert fast < slow / 2
+
+
 def test_signatures_where_a_word_repeats_are_few(spark):
     """A run of one word has few signatures, and equal runs of 50 words that lie in it, begin in it or end in it are all found."""
     rng = random.Random(31)
