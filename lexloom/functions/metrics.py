@@ -111,8 +111,8 @@ def _by_word(text: str, plain: bool, patterns: Sequence[regex.Pattern]) -> tuple
     return ads, seo, max(0.0, min(1.0, 1 - (min(1.0, (mean - 12) / 12) if mean > 12 else 0.0) - same - 0.5 * seo))
 
 
-#: Bytes of text that are measured at once.
-CHUNK = 4 << 20
+#: Bytes of text that are measured at once; a longer text is measured alone.
+CHUNK = 1 << 20
 
 
 def scores(column: pa.Array, allow: Sequence[str] = (), patterns: Sequence[regex.Pattern] = ()) -> pa.Array:

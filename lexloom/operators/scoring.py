@@ -19,7 +19,7 @@ FIELDS = (*NUMERIC, *FLAGS, "detected_language")
 
 
 def score(df: DataFrame, text_col: str = "text", allow: Iterable[str] = (), ad_keywords: Iterable[str] = (), ad_patterns: Iterable[str] = ()) -> DataFrame:
-    """df with a column for each of FIELDS, of the trimmed text; columns of these names are replaced. A null or empty text has 0 everywhere and no language. One Arrow function makes all of them in one pass over the text."""
+    """df with a column for each of FIELDS, of the trimmed text; columns of these names are replaced. A null or empty text has 0 everywhere and no language. One Arrow function makes all of them in one pass over the text; it counts as not deterministic, as Spark would else copy it into a filter on them, for a second pass in workers of its own."""
     allow, ad_keywords, ad_patterns = tuple(allow), tuple(ad_keywords), tuple(ad_patterns)
     if bad := [c for c in allow if c.lower() not in fn.LANGUAGES]:
         raise ValueError(f"unsupported language: {', '.join(bad)}")
@@ -29,6 +29,7 @@ def score(df: DataFrame, text_col: str = "text", allow: Iterable[str] = (), ad_k
     def run(text: pa.Array) -> pa.Array:
         return metrics.scores(text, allow, metrics.compile_patterns(ad_keywords, ad_patterns))
 
+    run = run.asNondeterministic()
     free = "__scores" + "_" * max(map(len, df.columns))  # longer than any name there is
     found = df.withColumn(free, run(fn.trimmed(F.col(f"`{text_col}`"))))
     return found.withColumns({x: F.col(f"{free}.{x}") for x in FIELDS}).drop(free)

@@ -97,6 +97,13 @@ def test_ladder_and_rules(spark):
         scoring.validate_rule("odd", leaf("nope", "lt", 1))
 
 
+def test_scores_are_made_once_where_rows_are_filtered_by_them(spark):
+    rows = spark.createDataFrame([(1, "plain words of a text"), (2, "a <b>tag</b> in it")], "doc_id long, text string").repartition(2)
+    found = scoring.score(rows).withColumn("reason", scoring.reason({"reject_on_residual_html": True})).where("reason is not null")
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [r.doc_id for r in found.collect()] == [2]
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([(float(i), "accepted") for i in range(1, 5)] + [(99.0, "error")], "avg_sentence_length double, outcome string")
     for m in scoring.NUMERIC:
