@@ -8,7 +8,7 @@ import uuid
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,13 +97,29 @@ def _mulmod(a: int, x: np.ndarray, b: int) -> np.ndarray:
     return np.where(total >= p, total - p, total)
 
 
+#: Windows of a text that are hashed at once.
+WINDOWS = 1 << 16
+
+
 def signature(text: str, num_hashes: int, shingle_size: int, family: list[tuple[int, int]] | None = None) -> np.ndarray:
     """The least values of num_hashes functions over a text's shingles; family is what coefficients gives for num_hashes."""
-    x = _shingle_hashes(text, shingle_size)
-    if not len(x):
+    if not text:
         return np.zeros(num_hashes, np.int64)
-    x = x % np.uint64(PRIME)
-    return np.array([_mulmod(a, x, b).min() for a, b in family or coefficients(num_hashes)], np.uint64).astype(np.int64)
+    family = family or coefficients(num_hashes)
+    least = np.full(num_hashes, PRIME, np.uint64)
+    for i in range(0, max(1, len(text) - shingle_size + 1), WINDOWS):
+        x = _shingle_hashes(text[i : i + WINDOWS + shingle_size - 1], shingle_size) % np.uint64(PRIME)
+        least = np.minimum(least, np.array([_mulmod(a, x, b).min() for a, b in family], np.uint64))
+    return least.astype(np.int64)
+
+
+def signatures(texts: pa.Array, num_hashes: int, shingle_size: int) -> pa.ListArray:
+    """signature of each text, one text at a time; a null counts as an empty one."""
+    family = coefficients(num_hashes)
+    out = np.empty((len(texts), num_hashes), np.int64)
+    for i, text in enumerate(texts):
+        out[i] = signature(text.as_py() or "", num_hashes, shingle_size, family)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * num_hashes, pa.int32()), pa.array(out.ravel()))
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -142,10 +158,9 @@ def near(df: DataFrame, threshold: float = 0.85, num_hashes: int = 128, num_band
     validate(num_hashes, num_bands, threshold)
     per = num_hashes // num_bands
 
-    @F.pandas_udf("array<long>")
-    def sign(texts: pd.Series) -> pd.Series:
-        family = coefficients(num_hashes)
-        return texts.map(lambda t: signature(t or "", num_hashes, shingle_size, family))
+    @F.arrow_udf("array<long>")
+    def sign(texts: pa.Array) -> pa.Array:
+        return signatures(texts, num_hashes, shingle_size)
 
     whole = scratch(df.select(F.col(order_col).alias("ord"), sign(F.col(text_col)).alias("sig")))
     rows = scratch(whole.groupBy("sig").agg(F.min("ord").alias("ord")))

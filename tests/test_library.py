@@ -6,8 +6,10 @@ import gzip
 import json
 import random
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +125,28 @@ def test_minhash_arithmetic():
         assert dedup._mulmod(a, x, b).tolist() == [(a * int(v) + b) % dedup.PRIME for v in x]
 
 
+def test_signatures_take_memory_for_a_part_of_a_text_only():
+    text = "".join(random.Random(5).choices("abcdefghij é日", k=1_000_000))
+    tracemalloc.start()
+    got = dedup.signature(text, 4, 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20
+    x = np.array(sorted({dedup.fnv1a(text[i : i + 8].encode()) % dedup.PRIME for i in range(len(text) - 7)}), np.uint64)
+    assert got.tolist() == [int(dedup._mulmod(a, x, b).min()) for a, b in dedup.coefficients(4)]
+
+
+def test_signatures_of_a_batch(monkeypatch):
+    monkeypatch.setattr(dedup, "WINDOWS", 3)
+    texts = ["", None, "abc", "abcdefgh", "abcdefghi", "héllo wörld 日本 😀 again"]
+    family, want = dedup.coefficients(6), []
+    for t in texts:
+        h = [dedup.fnv1a((t or "")[i : i + 8].encode()) % dedup.PRIME for i in range(max(1, len(t or "") - 7))]
+        want.append([min((a * x + b) % dedup.PRIME for x in h) if t else 0 for a, b in family])
+    batch = pa.array(["left out", *texts]).slice(1)
+    assert dedup.signatures(batch, 6, 8).to_pylist() == want
+
+
 def test_near_dedup_is_the_sequential_one(spark):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(300)]
